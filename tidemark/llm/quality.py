@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import windows, words
+from tidemark.llm.text import let, windows, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -72,8 +72,8 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         lines.alias("lines"),
         F.size(stop).cast("long").alias("n_stop"),
-        F.transform("w", lambda x: F.xxhash64(x)).alias("e"),
-    ).withColumn("h", windows("e", WINDOW)).drop("e")
+        windows(F.transform("w", lambda x: F.xxhash64(x)), WINDOW).alias("h"),
+    )
     c = b.withColumns(
         {
             "n_lines": F.size("lines").cast("long"),
@@ -82,10 +82,10 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
             "p": F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))),
         }
     ).drop("lines", "h")
-    near = lambda x, i, k: F.coalesce(F.get(F.col("p"), i + k)["h"] == x["h"], F.lit(False))
-    twice = F.transform("p", lambda x, i: F.when(near(x, i, -1) | near(x, i, 1), x["i"]))
+    near = lambda p, x, i, k: F.coalesce(F.get(p, i + k)["h"] == x["h"], F.lit(False))
+    twice = let(F.col("p"), lambda p: F.transform(p, lambda x, i: F.when(near(p, x, i, -1) | near(p, x, i, 1), x["i"])))
     d = c.withColumn("s", F.array_sort(F.filter(twice, lambda x: x.isNotNull()))).drop("p")
-    step = F.transform("s", lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("s"), i + 1) - x, F.lit(WINDOW))))
+    step = let(F.col("s"), lambda s: F.transform(s, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(s, i + 1) - x, F.lit(WINDOW)))))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return d.select(
         "*",
@@ -123,7 +123,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tu
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns and no shuffle."""
     f = figures(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("__row"), F.col(text).alias("text")))
-    return f.where(verdict(rules)).select("__row.*")
+    # a filter would be pushed below the projections and evaluate each figure again for every rule
+    return f.select(F.explode(F.when(verdict(rules), F.array("__row"))).alias("__kept")).select("__kept.*")
 
 
 BASE_SQL = r"""

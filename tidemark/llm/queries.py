@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import quality
+from tidemark.llm import decontaminate, lines, quality, simhash
 from tidemark.session import prepare
 from tidemark.sources.tables import table
 
@@ -13,5 +13,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
-SQL = {"op1_quality_rules": quality.BASE_SQL}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(prepare(spark), sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(prepare(spark), sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op5_line_dedup, op6_decontamination)}
+SQL = {"op1_quality_rules": quality.BASE_SQL, "op5_line_dedup": lines.SQL, "op6_decontamination": decontaminate.SQL}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,16 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def windows(hashes: str, size: int) -> Column:
-    """64-bit hashes of all runs of ``size`` items of the column ``hashes`` (an array of long), in order; none if it is shorter."""
-    one = lambda x, i: F.xxhash64(x, *(F.get(F.col(hashes), i + k) for k in range(1, size)))
-    runs = F.slice(F.transform(hashes, one), 1, F.size(hashes) - (size - 1))
-    return F.when(F.size(hashes) >= size, runs).otherwise(F.array().cast("array<bigint>"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, evaluated once however often ``body`` uses it, also inside lambdas and where filters are pushed down."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def windows(hashes: Column, size: int) -> Column:
+    """64-bit hashes of all runs of ``size`` items of ``hashes`` (an array of long), in order; none if it is shorter."""
+
+    def runs(e: Column) -> Column:
+        one = lambda x, i: F.xxhash64(x, *(F.get(e, i + k) for k in range(1, size)))
+        return F.when(F.size(e) >= size, F.slice(F.transform(e, one), F.lit(1), F.size(e) - (size - 1))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(hashes, runs)
