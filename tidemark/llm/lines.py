@@ -160,13 +160,13 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 SQL = r"""
 WITH l AS (SELECT doc_id, i - 1 AS line_no, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS r(i)),
 w AS (SELECT doc_id, line_no, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS w FROM l),
-r AS (SELECT *, array_to_string(w, ' ') AS s, min(struct_pack(d := doc_id, n := line_no)) OVER (PARTITION BY array_to_string(w, ' ')) AS first FROM w WHERE len(w) > 0),
-d AS (SELECT *, struct_pack(d := doc_id, n := line_no) AS at FROM r),
-f AS (SELECT * FROM d WHERE at = first AND len(w) >= 8),
-k AS (SELECT at, w, s, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS v FROM f, unnest(range(1, len(w) + 1)) AS q(i)),
-e AS (SELECT DISTINCT a.at FROM k a JOIN k b ON a.v = b.v AND a.i = b.i AND len(a.w) = len(b.w) AND b.at < a.at
-  UNION SELECT a.at FROM k a JOIN f b ON a.v = b.s AND b.at < a.at UNION SELECT b.at FROM k a JOIN f b ON a.v = b.s AND a.at < b.at),
-g AS (SELECT at.d AS doc_id, at.n AS line_no, 1 AS near FROM e UNION ALL SELECT doc_id, line_no, 0 FROM d WHERE at > first)
+r AS (SELECT *, array_to_string(w, ' ') AS s, min(struct_pack(d := doc_id, n := line_no)) OVER (PARTITION BY array_to_string(w, ' ')) AS fst FROM w WHERE len(w) > 0),
+d AS (SELECT *, struct_pack(d := doc_id, n := line_no) AS pl FROM r),
+f AS (SELECT * FROM d WHERE pl = fst AND len(w) >= 8),
+k AS (SELECT pl, w, s, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS v FROM f, unnest(range(1, len(w) + 1)) AS q(i)),
+e AS (SELECT DISTINCT a.pl FROM k a JOIN k b ON a.v = b.v AND a.i = b.i AND len(a.w) = len(b.w) AND b.pl < a.pl
+  UNION SELECT a.pl FROM k a JOIN f b ON a.v = b.s AND b.pl < a.pl UNION SELECT b.pl FROM k a JOIN f b ON a.v = b.s AND a.pl < b.pl),
+g AS (SELECT pl.d AS doc_id, pl.n AS line_no, 1 AS near FROM e UNION ALL SELECT doc_id, line_no, 0 FROM d WHERE pl > fst)
 SELECT l.doc_id, count(*) AS n_lines, CAST(count(*) FILTER (near = 0) AS BIGINT) AS n_exact, CAST(count(*) FILTER (near = 1) AS BIGINT) AS n_near,
   md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (near IS NULL), '')) AS kept_md5
 FROM l LEFT JOIN g USING (doc_id, line_no) GROUP BY l.doc_id
