@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, lines, quality, simhash
+from tidemark.llm import decontaminate, lines, packing, quality, sharding, simhash
 from tidemark.session import prepare
 from tidemark.sources.tables import table
 
@@ -25,5 +25,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op5_line_dedup, op6_decontamination)}
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(prepare(spark), sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op5_line_dedup, op6_decontamination, op7_sharding, op10_packing)}
 SQL = {"op1_quality_rules": quality.BASE_SQL, "op5_line_dedup": lines.SQL, "op6_decontamination": decontaminate.SQL}
