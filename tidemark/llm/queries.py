@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, lines, packing, quality, sharding, simhash
+from tidemark.llm import decontaminate, idfile, lines, packing, quality, sharding, simhash, suffixes
 from tidemark.session import prepare
 from tidemark.sources.tables import table
 
@@ -17,6 +17,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(prepare(spark), sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(prepare(spark), sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(prepare(spark), sf_dir, "documents"))
 
@@ -29,9 +33,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(prepare(spark), sf_dir, "documents"))
 
 
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.round_trip(table(prepare(spark), sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op5_line_dedup, op6_decontamination, op7_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_suffix_dedup, op5_line_dedup, op6_decontamination, op7_sharding, op8_id_files, op10_packing)}
 SQL = {"op1_quality_rules": quality.BASE_SQL, "op5_line_dedup": lines.SQL, "op6_decontamination": decontaminate.SQL}
