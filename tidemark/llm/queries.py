@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, idfile, lines, packing, quality, sharding, simhash, suffixes
+from tidemark.llm import decontaminate, idfile, licences, lines, packing, quality, sharding, simhash, suffixes, toxicity
 from tidemark.session import prepare
 from tidemark.sources.tables import table
 
@@ -21,6 +21,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.report(table(prepare(spark), sf_dir, "documents"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(prepare(spark), sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(prepare(spark), sf_dir, "documents"))
 
@@ -37,9 +41,14 @@ def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.round_trip(table(prepare(spark), sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_suffix_dedup, op5_line_dedup, op6_decontamination, op7_sharding, op8_id_files, op10_packing)}
-SQL = {"op1_quality_rules": quality.BASE_SQL, "op5_line_dedup": lines.SQL, "op6_decontamination": decontaminate.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_suffix_dedup, op4_licences, op5_line_dedup, op6_decontamination, op7_sharding, op8_id_files, op9_toxicity, op10_packing)}
+SQL = {"op1_quality_rules": quality.BASE_SQL, "op4_licences": licences.SQL, "op5_line_dedup": lines.SQL, "op6_decontamination": decontaminate.SQL}
