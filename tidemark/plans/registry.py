@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("temporal", "aggregates", "windows", "retrieval", "graph", "text", "events", "memory")
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_query"
 _QUERIES: dict[str, Query] = {}
@@ -25,9 +27,16 @@ def operator(oracle: str | None = None, name: str | None = None) -> Callable[[Qu
     return put
 
 
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"tidemark.plans.{m}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
