@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, stored
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
@@ -17,7 +17,7 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
         front = cut(nxt.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionAll(front))
+        seen = stored(seen.unionAll(front))
     raise RuntimeError(f"not ended after {most} steps")
 
 
@@ -56,7 +56,7 @@ def chains(parents: DataFrame, most: int = 64) -> DataFrame:
         longer = cut(ends.join(b, F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.depth") + F.col("b.depth")).alias("depth")))
         if longer.isEmpty():
             return total
-        total = cut(total.unionAll(longer))
+        total = stored(total.unionAll(longer))
         step = total
     raise RuntimeError("chains are too long")
 
