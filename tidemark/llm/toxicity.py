@@ -25,7 +25,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 700, 1000, 20_000
 MIN_TEXTS, MAX_FORMS = 5, 8_000
 DIM_WORD, DIM_CHAR, HIDDEN, ATTENTION = 12, 12, 12, 12
 NGRAMS, TABLE = (3, 4, 5), 1 << 14
-EPOCHS, BATCH, RATE, SEED = 3, 256, 0.01, 7
+#: Passes over the sample, more of a small one, so that there are STEPS_MIN steps at least. In training a word is blanked with chance DROP.
+EPOCHS, STEPS_MIN, BATCH, RATE, DROP, SEED = 3, 450, 256, 0.01, 0.3, 7
 _WORD = re.compile(r"\w+")
 _CACHE_MAX = 400_000
 
@@ -212,7 +213,7 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], share: float | None = None) -> Model:
-    """Fit on a sample in memory; ``share`` is that of toxic texts where the sample comes from. Windows first take their text's label; then toxic texts keep only the windows that look toxic."""
+    """Fit on a sample in memory; ``share`` is that of toxic texts where the sample comes from. A fourth of the texts is kept to calibrate on. Windows first take their text's label; then toxic texts keep only the windows that look toxic."""
     words = [split_words(t) for t in texts]
     y = np.array(labels, np.float32)
     df = Counter(w for t in words for w in set(t))
@@ -224,6 +225,15 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
     if not len(y) or prior in (0.0, 1.0):
         model.scale, model.shift = 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3)))
         return model
+    # every fourth text of each label is kept from training, to calibrate on
+    order = np.argsort(-y, kind="stable")
+    aside = np.zeros(len(y), bool)
+    aside[order[3::4]] = True
+    if len(set(y[aside])) < 2:
+        aside[:] = False
+    rest, rest_y = [t for t, x in zip(words, aside, strict=True) if x], y[aside]
+    words, y = [t for t, x in zip(words, aside, strict=True) if not x], y[~aside]
+    df = Counter(w for t in words for w in set(t))
     names = list(df)
     number = {w: i for i, w in enumerate(names)}
     ids = [np.array([number[w] for w in t], np.int64) for t in words]
@@ -236,8 +246,9 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     use, tick = np.arange(len(owner)), 0
-    for epoch in range(EPOCHS):
-        if epoch:  # toxic texts: the windows that the network holds for toxic, the worst at least
+    epochs = max(EPOCHS, -(-STEPS_MIN // max(1, len(owner) // BATCH)))
+    for epoch in range(epochs):
+        if epoch and epoch % max(1, epochs // 3) == 0:  # toxic texts: the windows that the network holds for toxic, the worst at least
             model.known, model.vectors = {}, model.vectors[:0]
             logit = np.concatenate([_window_logits(model, ids, names, owner[k : k + 4096], begin[k : k + 4096]) for k in range(0, len(owner), 4096)])
             top = np.full(len(ids), -np.inf)
@@ -257,9 +268,11 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
             cut_at = np.cumsum(size[uniq]) - size[uniq]
             char = np.add.reduceat(net.p["char"][r], cut_at, axis=0) / size[uniq][:, None]
             x = np.concatenate([net.p["form"][form[uniq]], char], axis=1).astype(np.float32)[back.reshape(tok.shape)]
+            seen = (g.random(tok.shape) >= DROP).astype(np.float32)[:, :, None]
+            x = x * seen
             logit, tape = net.forward(x, mask[:, :, None], keep=True)
             grads, dx = net.backward(((_sigmoid(logit) - y[o]) / len(o)).astype(np.float32), tape)
-            dx = np.where(mask[:, :, None], dx, 0).reshape(-1, dx.shape[2])
+            dx = np.where(mask[:, :, None], dx * seen, 0).reshape(-1, dx.shape[2])
             per = np.stack([np.bincount(back.ravel(), dx[:, c], len(uniq)) for c in range(dx.shape[1])], axis=1)
             grads["form"] = np.zeros_like(net.p["form"])
             np.add.at(grads["form"], form[uniq], per[:, :DIM_WORD])
@@ -272,6 +285,8 @@ def train(texts: list[str], labels: list[int], share: float | None = None) -> Mo
                 v[k] += 0.01 * (d * d - v[k])
                 net.p[k] -= RATE * (m[k] / (1 - 0.9**tick)) / (np.sqrt(v[k] / (1 - 0.99**tick)) + 1e-7)
     model.known, model.vectors = {}, model.vectors[:0]
+    if len(rest):
+        words, y = rest, rest_y
     w = np.nan_to_num(model.worst(words), neginf=-20.0)
     target = np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / ((1 - y).sum() + 2))  # Platt's targets
     weight = np.where(y > 0, share / prior, (1 - share) / (1 - prior))
