@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.small import sized
 from tidemark.llm.text import words
-from tidemark.session import cut
+from tidemark.session import cut, stored
 
 NEAR_WORDS = 8
 #: A key's rows are dealt over so many tasks.
@@ -49,7 +49,11 @@ def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
 
     Firsts are summed up map-side; then each is sent to all salts and a key's rows spread over them, so a hot key is no task's.
     """
-    firsts = rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE)).alias("first"), F.max(F.struct(*_PLACE)).alias("last_place")).where("first < last_place")
+    firsts = rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return _after(rows, firsts, keys)
+
+
+def _after(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
     firsts = firsts.select(*keys, "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*_PLACE), F.lit(SALTS)).cast("int"))
     return salted.join(firsts, [*keys, "salt"]).where(F.struct(*_PLACE) > F.col("first"))
@@ -95,11 +99,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
     Lines without a word never repeat. Rows that share an id count as one document: equal places don't repeat each other.
     """
-    all_lines = cut(_hashed(docs, id_col, text))
-    exact = _later(all_lines.select(*_PLACE, "h1", "h2"), ["h1", "h2"]).select(*_PLACE)
+    all_lines = stored(_hashed(docs, id_col, text))
+    lowest = F.min(F.struct(*_PLACE, "n", "p", "q", "r")).alias("x")
+    different = stored(all_lines.groupBy("h1", "h2").agg(lowest, F.count("*").alias("copies")).select("h1", "h2", "copies", "x.*"))
+    again = different.where("copies > 1").select("h1", "h2", F.struct(*_PLACE).alias("first"))
+    exact = _after(all_lines.select(*_PLACE, "h1", "h2"), again, ["h1", "h2"]).select(*_PLACE)
     # near repeats are sought among the first places of different lines, and among those only that share a half with another
-    firsts = all_lines.where(F.col("p").isNotNull()).groupBy("h1", "h2", "n", "p", "q", "r").agg(F.min(F.struct(*_PLACE)).alias("at"))
-    firsts = cut(firsts.select("at.*", "n", "h1", "p", "q", "r"))
+    firsts = different.where(F.col("p").isNotNull())
     halves = firsts.select("h1", F.explode(F.array("p", "q", "r")).alias("half")).groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("half")
     even = F.col("n") % 2 == 0
     half = lambda c: F.col(f"{c}.half").isNotNull()
@@ -117,7 +123,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     t = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("lines"))
     t = t.join(sized(by_doc, n_picked), "doc_id").select("doc_id", F.explode(F.expr("transform(picked, x -> struct(x.line_no, x.from_, x.to_, get(lines, x.line_no) AS line))")).alias("x"))
     t = t.select("doc_id", "x.*").where("line is not null")
-    t = cut(t.select(*_PLACE, "from_", "to_", words(F.lower("line")).alias("w")).dropDuplicates(list(_PLACE)).withColumn("n", F.size("w")))
+    t = stored(t.select(*_PLACE, "from_", "to_", words(F.lower("line")).alias("w")).dropDuplicates(list(_PLACE)).withColumn("n", F.size("w")))
     pairs = _later(_neighbourhoods(t), ["key"]).select(*_PLACE, "first").distinct()
     one = t.where(F.col("n") >= NEAR_WORDS).select(*_PLACE, "w")
     other = one.select(F.struct(*_PLACE).alias("first"), F.col("w").alias("v"))

@@ -13,9 +13,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 2
 #: Unicode white space. A text is cut before a run of it that follows anything else, where no token of these vocabularies crosses.
 _WS = "\t-\r \x85\xa0  -     　"
+_GAPS = set("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 _PIECE = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 #: Most cached pieces in a worker, and most characters cut up at once.
-_CACHE_MAX, _BATCH_CHARS = 1_000_000, 2_000_000
+_CACHE_MAX, _BATCH_CHARS = 2_000_000, 2_000_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -32,12 +33,23 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
 
     def _fill(self, missing: list[str]) -> None:
+        """Encode pieces into the cache: those that start with white space and end otherwise as one text, whose tokens don't cross from one to the next."""
         if len(self.cache) + len(missing) > _CACHE_MAX:
             self.cache.clear()
         for i in range(0, len(missing), 20_000):
             part = missing[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            joined = [p for p in part if p[0] in _GAPS and p[-1] not in _GAPS]
+            single = [p for p in part if not (p[0] in _GAPS and p[-1] not in _GAPS)]
+            for piece, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
                 self.cache[piece] = np.array(e.ids, self.dtype).tobytes()
+            if joined:
+                e = self.tokenizer.encode("".join(joined), add_special_tokens=False)
+                ids = np.array(e.ids, self.dtype)
+                starts = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+                ends = np.cumsum([len(p) for p in joined])
+                at = np.r_[0, np.searchsorted(starts, ends)].tolist()
+                for piece, a, b in zip(joined, at, at[1:], strict=False):
+                    self.cache[piece] = ids[a:b].tobytes()
 
     def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
         pieces = [_PIECE.findall(t) for t in texts]
