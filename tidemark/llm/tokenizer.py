@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -15,8 +17,13 @@ END_ID = 2
 _WS = "\t-\r \x85\xa0  -     　"
 _GAPS = set("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 _PIECE = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-#: Most cached pieces in a worker, and most characters cut up at once.
-_CACHE_MAX, _BATCH_CHARS = 2_000_000, 2_000_000
+#: Pieces of printable ASCII and Latin letters, for which white space, letters and lower case are the same here as in the library.
+_PLAIN = re.compile(r"[\t\n\r ]*[!-~\xa1-\u012f\u0131-\u024f]+").fullmatch
+_CONTROL = re.compile(r"[\x1c-\x1f]").search
+#: Words encoded as one text.
+_JOIN = 500
+#: Most cached pieces in a worker (and as many words), and most characters cut up at once.
+_CACHE_MAX, _BATCH_CHARS = 1_000_000, 1_000_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -31,34 +38,68 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.cache: dict[str, bytes] = {}
-
-    def _fill(self, missing: list[str]) -> None:
-        """Encode pieces into the cache: those that start with white space and end otherwise as one text, whose tokens don't cross from one to the next."""
-        if len(self.cache) + len(missing) > _CACHE_MAX:
+        self.words: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.at_end = bool(spec["model"].get("end_of_word_suffix"))
+        self.lower = "Lowercase" in str(spec["normalizer"])
+        self.pattern = None
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"] or {}])
+        if self.at_end and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed":
+            self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+        elif steps[0]["type"] == "ByteLevel" and steps[0]["use_regex"] and spec["normalizer"] is None:
+            self.pattern = regex.compile(public_pattern())
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.endswith(spec["model"]["end_of_word_suffix"]) if self.at_end else token.startswith("\u0120")
+
+    def _fill(self, missing: list[str]) -> bool:
+        """Encode pieces into the cache, from their words where the vocabulary's own pattern tells them and else as they are; whether the cache was emptied first."""
+        full = len(self.cache) + len(missing) > _CACHE_MAX
+        if full:
             self.cache.clear()
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            joined = [p for p in part if p[0] in _GAPS and p[-1] not in _GAPS]
-            single = [p for p in part if not (p[0] in _GAPS and p[-1] not in _GAPS)]
-            for piece, e in zip(single, self.tokenizer.encode_batch_fast(single, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(e.ids, self.dtype).tobytes()
-            if joined:
-                e = self.tokenizer.encode("".join(joined), add_special_tokens=False)
-                ids = np.array(e.ids, self.dtype)
-                starts = np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-                ends = np.cumsum([len(p) for p in joined])
-                at = np.r_[0, np.searchsorted(starts, ends)].tolist()
-                for piece, a, b in zip(joined, at, at[1:], strict=False):
-                    self.cache[piece] = ids[a:b].tobytes()
+        if len(self.words) > _CACHE_MAX:
+            self.words.clear()
+        plain, other = [], missing if self.pattern is None else []
+        if self.pattern is not None:
+            for p in missing:
+                (plain if _PLAIN(p) else other).append(p)
+        split = [self.pattern.findall(p.lower() if self.lower else p) for p in plain]
+        new = set().union(*split).difference(self.words)
+        self._fill_words([w for w in new if self.at_end or w[0] == " "], [w for w in new if not (self.at_end or w[0] == " ")])
+        get = self.words.__getitem__
+        self.cache.update(zip(plain, [get(w[0]) if len(w) == 1 else b"".join(map(get, w)) for w in split], strict=True))
+        self._single(other, self.cache)
+        return full
+
+    def _fill_words(self, many: list[str], single: list[str]) -> None:
+        """Encode words, ``many`` of them as one text: each has one token at its edge that shows where it ends (or starts)."""
+        for i in range(0, len(many), _JOIN * 40):
+            part = many[i : i + _JOIN * 40]
+            space = " " if self.at_end else ""
+            found = self.tokenizer.encode_batch_fast([space.join(part[k : k + _JOIN]) for k in range(0, len(part), _JOIN)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, self.dtype) for e in found])
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) != len(part):  # not the words that the pattern told
+                single = single + part
+                continue
+            bounds = (np.r_[0, at + 1] if self.at_end else np.r_[at, len(ids)]).tolist()
+            self.words.update(zip(part, [ids[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], strict=True))
+        self._single(single, self.words)
+
+    def _single(self, texts: list[str], cache: dict[str, bytes]) -> None:
+        for i in range(0, len(texts), 20_000):
+            part = texts[i : i + 20_000]
+            for t, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                cache[t] = np.array(e.ids, self.dtype).tobytes()
 
     def _some(self, texts: list[str]) -> Iterator[np.ndarray]:
-        pieces = [_PIECE.findall(t) for t in texts]
-        need = set().union(*pieces) if pieces else set()
+        # where white space is dropped, what stands between it is enough; str.split() also cuts at four control characters
+        bare = self.at_end and self.pattern is not None
+        pieces = [t.split() if bare and not _CONTROL(t) else _PIECE.findall(t) for t in texts]
+        need = set().union(*pieces)
         missing = [p for p in need if p not in self.cache]
-        if missing:
-            self._fill(missing)
-            if any(p not in self.cache for p in need):  # the cache was emptied meanwhile
-                self._fill([p for p in need if p not in self.cache])
+        if missing and self._fill(missing):
+            self._fill([p for p in need if p not in self.cache])
         get = self.cache.__getitem__
         for p in pieces:
             yield np.frombuffer(b"".join(map(get, p)) + self.end, self.dtype)
@@ -86,3 +127,10 @@ def public(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def public_pattern() -> str:
+    """How byte-level vocabularies cut a text into words."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
