@@ -33,24 +33,28 @@ def dot_product_bins(demand: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray,
     inverse = inverse.reshape(-1)
     members = np.argsort(inverse, kind="stable")  # items by class, in input order
     at = np.r_[0, np.cumsum(count)][:-1]
-    share = kind / limit
     live = np.arange(len(kind))
-    room, b, k = limit.astype(np.int64).copy(), 0, 0
+    columns = list(np.ascontiguousarray(kind.T, np.float64))  # of the classes that are left
+    room, b, k = limit.astype(np.float64), 0, 0
     left = n
     while left:
-        fits = (kind[live] <= room).all(axis=1)
-        if not fits.any():
-            room, b, k = limit.astype(np.int64).copy(), b + 1, 0
+        # room / limit * demand / limit, summed over the demands
+        score = sum(c * w for c, w in zip(columns, (room / limit / limit).tolist(), strict=True))
+        for c, r in zip(columns, room.tolist(), strict=True):
+            score[c > r] = -1.0
+        x = int(score.argmax())
+        if score[x] < 0:
+            room, b, k = limit.astype(np.float64), b + 1, 0
             continue
-        score = np.where(fits, share[live] @ (room / limit), -1.0)
-        best = live[int(score.argmax())]
+        best = live[x]
         item = members[at[best]]
         at[best] += 1
         count[best] -= 1
         where[item], place[item] = b, k
         room, k, left = room - kind[best], k + 1, left - 1
         if not count[best]:
-            live = live[live != best]
+            live = np.delete(live, x)
+            columns = [np.delete(c, x) for c in columns]
     return where, place
 
 
