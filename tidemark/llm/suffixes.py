@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.session import cut
+from tidemark.session import cut, stored
 
 WINDOW, K = 100, 32
 NO_ID = -(2**63)
@@ -268,11 +268,11 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     one = Window.partitionBy("anchor", "salt", "digest")
     found = found.withColumn("first", F.min(place).over(one)).withColumns({"least": F.min("digest").over(mine), "most": F.max("digest").over(mine)})
     found = found.select("anchor", "digest", "doc_id", "start", "windows", "salt", (place > F.col("first")).alias("again"), (F.col("least") < F.col("most")).alias("several"))
-    found = cut(found.where("again or several or salt >= 0"))
+    found = stored(found.where("again or several or salt >= 0").drop("several"))
     gone = found.where("again").select("doc_id", "start", "windows")
     single = found.where("not again and salt < 0")
     many = found.where("not again and salt >= 0").withColumn("first", F.min(place).over(Window.partitionBy("anchor", "digest")))
-    many = cut(many.withColumn("again", place > F.col("first")))
+    many = stored(many.select("anchor", "doc_id", "start", "windows", (place > F.col("first")).alias("again")))
     gone = gone.unionAll(many.where("again").select("doc_id", "start", "windows"))
     ask = single.select("anchor", "salt", "doc_id", "start", "windows").unionAll(
         many.where("not again").select("anchor", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int").alias("salt"), "doc_id", "start", "windows")
@@ -281,7 +281,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     raw = base.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     got = raw.join(ask, "doc_id").select("doc_id", F.explode(F.expr(f"transform(asked, x -> struct(x.node, x.salt, x.start, x.windows, substring(raw, x.start + 1, x.windows + {WINDOW - 1}) AS bytes))")).alias("x"))
     got = got.select("x.node", "x.salt", "doc_id", "x.start", "x.windows", "x.bytes").where(F.length("bytes") == F.col("windows") + (WINDOW - 1))
-    solved = cut(got.repartition("node").sortWithinPartitions("node").mapInArrow(_sorted_groups, "doc_id long, start int, windows int, a long, b long"))
+    solved = stored(got.repartition("node").sortWithinPartitions("node").mapInArrow(_sorted_groups, "doc_id long, start int, windows int, a long, b long"))
     gone = gone.unionAll(solved.where("a is null").select("doc_id", "start", "windows"))
     # windows that are first in their part of a hot anchor: at most SALTS of each content are left
     left = solved.where("a is not null").withColumn("first", F.min(place).over(Window.partitionBy("a", "b")))
