@@ -102,6 +102,13 @@ def test_lines_against_all_pairs(spark):
     assert [x.n_exact for x in lines.report(twice).collect()] == [0, 0]
 
 
+def test_a_line_too_short_for_near_repeats_stands_between_none(spark):
+    foot = "all of this report is for readers"
+    texts = [(1, foot), (2, f"{foot} 12"), (3, f"{foot} 13"), (4, f"page {foot}\nno {foot}"), (5, foot.replace(" is ", " is now ")), (6, foot.replace(" is ", " is not "))]
+    got = {(x.doc_id, x.line_no) for x in lines.repeats(table(spark, texts)).collect()}
+    assert got == brute_lines(texts) == {(3, 0), (4, 1), (6, 0)}
+
+
 def test_decontamination_edges(spark):
     r = random.Random(3)
     passage = " ".join(r.choice(WORDS) + str(k) for k in range(30))

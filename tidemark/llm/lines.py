@@ -40,7 +40,7 @@ def _hashed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     first = lambda k: F.xxhash64(F.lit(0), F.slice("w", F.lit(1), k))
     last = lambda k: F.xxhash64(F.lit(1), F.slice("w", n - k + 1, k))
     even = n % 2 == 0
-    keys = F.when(n >= NEAR_WORDS - 1, F.struct(first(a).alias("p"), F.when(even, last(a)).otherwise(first(b)).alias("q"), last(F.when(even, a + 1).otherwise(b)).alias("r")))
+    keys = F.when(n >= NEAR_WORDS, F.struct(first(a).alias("p"), F.when(even, last(a)).otherwise(first(b)).alias("q"), last(F.when(even, a + 1).otherwise(b)).alias("r")))
     return w.select(*_PLACE, n.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"), keys.alias("k")).select(*_PLACE, "n", "h1", "h2", "k.*")
 
 
