@@ -130,3 +130,9 @@ def test_licences(spark):
     got = sorted(((x.doc_id, x.licences) for x in licences.scan(d).collect()), key=str)
     assert got == sorted([(1, "MIT"), (2, ""), (3, ""), (None, "proprietary"), (4, "unknown"), (5, ""), (6, "Apache-2.0"), (6, "Apache-2.0")], key=str)
     assert not licences.scan(d.limit(0)).collect()
+
+
+def test_licence_phrases_over_line_ends(spark):
+    texts = ["All rights\nreserved.", "All rights\treserved", "This is in the public\n * domain.", "// Released\n// under these terms", "Distributed   under terms", "Creative\nCommons Zero", "cc\nby 4.0", "All rights\n\nwere reserved"]
+    got = {x.doc_id: x.sentences for x in licences.scan(table(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: "all-rights", 1: "all-rights", 2: "public-domain", 3: "some-licence", 4: "some-licence", 5: "cc0", 6: "cc-by-4", 7: ""}

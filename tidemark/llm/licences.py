@@ -82,8 +82,10 @@ RULES = (
     ("proprietary", ("all-rights",)),
     ("unknown", ("some-licence",)),
 )
-#: A text without any of these has no known sentence.
+#: The SQL's gate, with one plain space between words.
 HINT = r"(?i)licen[cs]e|spdx|gpl|permission|redistribution|as is|\bcc0|cc[ -]by|creative commons|attribution-|endorse|promote|public domain|rights reserved|(released|distributed) under"
+#: A text without any of these has no known sentence: HINT with all between its words that becomes one space before sentences are matched.
+GATE = HINT.replace("[ -]", r"(-|[\s/*#]+)").replace(" ", r"[\s/*#]+")
 ENDS = r"[.!?;]+ |\n"
 
 
@@ -101,7 +103,7 @@ def identify(text: Column) -> Column:
     cut = lambda t: F.flatten(F.transform(F.split(t, ENDS), lambda s: known(F.trim(F.regexp_replace(s, r"[ \t\r\f/*#]+", " ")))))
     t = F.lower(F.coalesce(text, F.lit("")))
     found = let(F.array(cut(t), cut(F.replace(t, F.lit("\n"), F.lit(" ")))), lambda x: F.when(F.size(F.get(x, 1)) > F.size(F.get(x, 0)), F.get(x, 1)).otherwise(F.get(x, 0)))
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike(GATE), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
