@@ -29,3 +29,25 @@ def test_entry(spark):
 
     assert e.entry(spark).count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_chunks_of_a_very_long_document_stay_its_own(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import retrieval
+    from tidemark.sources.tables import table
+
+    tail = " ".join(["apple"] * 40)
+    table(spark, sf, "benchmark").limit(0).unionByName(spark.createDataFrame([(4, "apple pear")], "item_id long, text string"), allowMissingColumns=True).write.parquet(f"{tmp_path}/benchmark.parquet")
+    table(spark, sf, "embeddings").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
+    docs = [(1, " ".join(["filler"] * 36_000) + " " + tail), (2, "apple and pear")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = str(tmp_path)
+    c = retrieval.chunks(spark, d).where(F.exists("words", lambda x: x == "apple")).collect()
+    want = {(x.doc_id, x.chunk_id): round(sum(n / (n + 1) for n in (x.words.count(t) for t in ("apple", "pear")) if n), 6) for x in c}
+    assert {k for k, _ in want} == {1, 2} and len({k for _, k in want}) < len(want)
+    got = retrieval.lexical_top(spark, d).collect()
+    assert sorted((x.chunk_id, x.score) for x in got) == sorted((k, s) for (_, k), s in want.items())
+    assert {(x.doc_id, x.chunk_id) for x in retrieval.fused(spark, d).collect()} == set(want)
+    used = {x.doc_id: x.used for x in retrieval.hybrid_query(spark, d).collect()}
+    assert set(used) == {1, 2} and max(used.values()) == 43

@@ -44,10 +44,10 @@ def _few(queries: DataFrame, most: int = 20_000) -> bool:
     return queries.limit(most + 1).count() <= most
 
 
-def rrf(*lists: tuple[DataFrame, float], key: str, by: list[str]) -> DataFrame:
+def rrf(*lists: tuple[DataFrame, float], key: list[str], by: list[str]) -> DataFrame:
     """Rows in any list with Σ weight / (60 + rank): a union and one aggregation in place of a full outer join."""
-    parts = [d.select(*by, key, (F.lit(w) / (K_RRF + F.col("rank"))).alias("part")) for d, w in lists]
-    return reduce(DataFrame.unionByName, parts).groupBy(*by, key).agg(F.sum("part").alias("score"), F.count("*").alias("n_lists"))
+    parts = [d.select(*by, *key, (F.lit(w) / (K_RRF + F.col("rank"))).alias("part")) for d, w in lists]
+    return reduce(DataFrame.unionByName, parts).groupBy(*by, *key).agg(F.sum("part").alias("score"), F.count("*").alias("n_lists"))
 
 
 def pack_prefix(rows: DataFrame, by: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:
@@ -57,15 +57,15 @@ def pack_prefix(rows: DataFrame, by: list[str], order: list[Column], cost: str,
 
 
 def inverted(chunks: DataFrame) -> DataFrame:
-    """(tok, chunk_id, tf, len) of chunks (chunk_id, words)."""
+    """(tok, doc_id, chunk_id, tf, len) of chunks (doc_id, chunk_id, words). Chunks of two documents may have one chunk_id."""
     clean = F.filter(F.transform("words", lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_]", "")), lambda x: x != "")
-    return chunks.select("chunk_id", F.size("words").alias("len"), F.explode(clean).alias("tok")).groupBy("tok", "chunk_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    return chunks.select("doc_id", "chunk_id", F.size("words").alias("len"), F.explode(clean).alias("tok")).groupBy("tok", "doc_id", "chunk_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
 def lexical(index: DataFrame, terms: DataFrame, limit: int = LEXICAL) -> DataFrame:
-    """(qid, chunk_id, score, rank): chunks by Σ tf / (tf + 1) over the query's terms (qid, tok). A declared stand-in for cover density."""
-    s = index.join(F.broadcast(terms), "tok").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.0)), 6).alias("score"))
-    return top_k(s, ["qid"], [F.col("score").desc(), F.col("chunk_id")], limit)
+    """(qid, doc_id, chunk_id, score, rank): chunks by Σ tf / (tf + 1) over the query's terms (qid, tok). A declared stand-in for cover density."""
+    s = index.join(F.broadcast(terms), "tok").groupBy("qid", "doc_id", "chunk_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.0)), 6).alias("score"))
+    return top_k(s, ["qid"], [F.col("score").desc(), F.col("chunk_id"), F.col("doc_id")], limit)
 
 
 def rare_terms(terms: DataFrame, df: DataFrame, n_docs: DataFrame, share: float = 0.2, least: int = 100, fallback: int = 2) -> DataFrame:

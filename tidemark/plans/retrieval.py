@@ -37,13 +37,13 @@ def title_list(ch, terms, limit=R.TITLE):
 def fused(spark, sf):
     """(qid, chunk_id, doc_id, score): lexical chunks, title and vector hits credited to the first chunk of their document."""
     ch, terms = chunks(spark, sf), query_terms(spark, sf)
-    lex = R.lexical(R.inverted(ch), terms).select("qid", "chunk_id", "rank")
-    tit = title_list(ch, terms).select("qid", (F.col("doc_id") * 1000).alias("chunk_id"), "rank")
+    lex = R.lexical(R.inverted(ch), terms).select("qid", "doc_id", "chunk_id", "rank")
+    tit = title_list(ch, terms).select("qid", "doc_id", (F.col("doc_id") * 1000).alias("chunk_id"), "rank")
     e = table(spark, sf, "embeddings")
     q = e.join(F.broadcast(terms.select(F.col("qid").alias("vec_id")).distinct()), "vec_id").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
-    vec = R.cosine_top(q, e, R.VECTOR).select(F.col("q").alias("qid"), (F.col("v") * 1000).alias("chunk_id"), "rank")
-    f = R.rrf((lex, 1.0), (tit, 1.0), (vec, 1.0), key="chunk_id", by=["qid"])
-    return f.select("qid", "chunk_id", F.floor(F.col("chunk_id") / 1000).alias("doc_id"), F.round("score", 8).alias("score"), "n_lists")
+    vec = R.cosine_top(q, e, R.VECTOR).select(F.col("q").alias("qid"), F.col("v").alias("doc_id"), (F.col("v") * 1000).alias("chunk_id"), "rank")
+    f = R.rrf((lex, 1.0), (tit, 1.0), (vec, 1.0), key=["doc_id", "chunk_id"], by=["qid"])
+    return f.select("qid", "chunk_id", "doc_id", F.round("score", 8).alias("score"), "n_lists")
 
 
 _FUSED = f"""{_IDX}, {_Q}, {_LEX}, {_TIT}, {_VEC},
@@ -101,8 +101,8 @@ def hybrid_query(spark, sf):
     """Fused lists, the best chunk of each document, packed under a word budget."""
     f = fused(spark, sf)
     best = R.top_k(f, ["qid", "doc_id"], [F.col("score").desc(), F.col("chunk_id")], 1).drop("rank")
-    size = chunks(spark, sf).select("chunk_id", F.size("words").alias("n"))
-    return R.pack_prefix(best.join(size, "chunk_id"), ["qid"], [F.col("score").desc(), F.col("chunk_id")], "n", 400).select("qid", "doc_id", "chunk_id", "score", "used")
+    size = chunks(spark, sf).select("doc_id", "chunk_id", F.size("words").alias("n"))
+    return R.pack_prefix(best.join(size, ["doc_id", "chunk_id"]), ["qid"], [F.col("score").desc(), F.col("chunk_id"), F.col("doc_id")], "n", 400).select("qid", "doc_id", "chunk_id", "score", "used")
 
 
 @operator(f"""WITH {_FUSED}, d AS (SELECT qid // 8 AS qid, doc_id, max(score) AS score FROM fused GROUP BY ALL), r AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM d)

@@ -44,7 +44,7 @@ versions AS (SELECT *, lead(valid_from) OVER line AS valid_to, CASE WHEN lead(re
 
 
 def chunks(spark: SparkSession, sf_dir: str, size: int = 40, lap: int = 4) -> DataFrame:
-    """Word windows of the documents: chunk_id, doc_id, ordinal, words."""
+    """Word windows of the documents: chunk_id, doc_id, ordinal, words. From ordinal 1000 on a chunk_id stands in the next document's ids, so doc_id and chunk_id are the key."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "").alias("w"))
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - lap) / F.lit(size - lap)) - 1).cast("int")
     d = d.where(F.size("w") > 0).select("doc_id", "w", F.explode(F.sequence(F.lit(0), last)).alias("ordinal"))
