@@ -51,3 +51,25 @@ def test_chunks_of_a_very_long_document_stay_its_own(spark, sf, tmp_path):
     assert {(x.doc_id, x.chunk_id) for x in retrieval.fused(spark, d).collect()} == set(want)
     used = {x.doc_id: x.used for x in retrieval.hybrid_query(spark, d).collect()}
     assert set(used) == {1, 2} and max(used.values()) == 43
+
+
+@pytest.mark.parametrize("most", [100_000, 20])
+def test_collapse_of_one_user_over_many_ranges(spark, monkeypatch, most):
+    import random
+
+    from tidemark.plans import windows
+
+    monkeypatch.setattr(windows, "RANGE_ROWS", most)
+    r = random.Random(11)
+    data = [(u, i, float(v)) for u in (1, 2, None) for i in r.sample(range(300), 220) for v in [r.choice([r.randrange(5), i])]]
+    data += [(7, i, float(i)) for i in range(400)] + [(7, 5, 1000.0), (8, None, 1.0), (8, 1, None), (8, 2, 9.0), (8, 3, 9.0)]
+    want = set()
+    for u in {x[0] for x in data}:
+        kept = []
+        for _, i, v in sorted((x for x in data if x[0] == u), key=lambda x: (x[2] is not None, -(x[2] or 0), x[1] is not None, x[1] or 0)):
+            if i is None or all(k is None or abs(k - i) > 1 for k in kept):
+                kept.append(i)
+        want |= {(u, p, i) for p, i in enumerate(kept)}
+    out = windows.collapse(spark.createDataFrame(data, "user_id long, event_id long, value double")).collect()
+    got = [tuple(x) for x in out]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tidemark.operators.retrieval import pack_prefix, top_k
 from tidemark.plans.aggregates import doc_terms
 from tidemark.plans.registry import operator
+from tidemark.session import cut
 from tidemark.sources.tables import table
 
 
@@ -111,13 +112,55 @@ def stratified_sample(spark, sf):
     return top_k(r, ["lang"], [F.col("rn"), F.col("source"), F.col("doc_id")], 30).select("lang", "doc_id", F.col("rank").cast("long").alias("k"))
 
 
+#: Rows of a range of collapse_neighbours, on average.
+RANGE_ROWS = 100_000
+
+
+def _ranged(d, by):
+    """``d`` in ranges of the order ``by``, numbered by ``run``, so that a user's many rows are no one task's."""
+    return cut(d.repartitionByRange(max(1, d.count() // RANGE_ROWS), *by).withColumn("run", F.spark_partition_id()))
+
+
+def _carried(d, parts):
+    """``d`` with the columns of ``parts`` of the same user and run."""
+    p = parts.withColumnsRenamed({"user_id": "u", "run": "r"})
+    return d.join(p, d["user_id"].eqNullSafe(p["u"]) & (d["run"] == p["r"])).drop("u", "r")
+
+
+def collapse(events):
+    """(user_id, pos, event_id): in order of value, the greatest first, an event is dropped if one of its user within ±1 of its id was kept.
+
+    An event hangs on neighbours before it in that order, these on theirs, and so on to an event that has none, which is kept; along such a chain
+    kept and dropped events take turns. So an event is kept if its distance to the end of each of its two chains is even.
+    """
+    place = F.struct((-F.col("value")).alias("v"), F.col("event_id").alias("id"))
+    e = events.select("user_id", F.col("event_id").alias("id"), place.alias("o"))
+    own = lambda shift, at: F.struct((F.col("id") + shift).alias("id"), *(F.when(F.lit(k == at), F.col("o")).alias(k) for k in ("o", "lo", "hi")))
+    x = e.where("id IS NOT NULL").select("user_id", F.inline(F.array(own(0, "o"), own(1, "lo"), own(-1, "hi"))))
+    x = x.groupBy("user_id", "id").agg(*(F.min(k).alias(k) for k in ("o", "lo", "hi"))).where("o IS NOT NULL")
+    first = lambda k: F.coalesce(F.col(k) < F.col("o"), F.lit(False))
+    x = x.select("user_id", "id", "o", F.when(~first("lo"), F.col("id")).alias("a"), F.when(~first("hi"), F.col("id")).alias("b"))
+    x = _ranged(x, ["user_id", "id"])
+    user = Window.partitionBy("user_id").orderBy("run")
+    ends = x.groupBy("user_id", "run").agg(F.max("a").alias("a"), F.min("b").alias("b"))  # a row for each user and range
+    ends = ends.select("user_id", "run", F.max("a").over(user.rowsBetween(Window.unboundedPreceding, -1)).alias("a_before"), F.min("b").over(user.rowsBetween(1, Window.unboundedFollowing)).alias("b_after"))
+    run = Window.partitionBy("user_id", "run").orderBy("id")
+    back = Window.partitionBy("user_id", "run").orderBy(F.col("id").desc())
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = _carried(x.withColumns({"a": F.max("a").over(upto(run)), "b": F.min("b").over(upto(back))}), ends)
+    even = lambda d: F.pmod(d, F.lit(2)) == 0
+    kept = x.where(even(F.col("id") - F.coalesce("a", "a_before")) & even(F.coalesce("b", "b_after") - F.col("id"))).select("user_id", "o.v", "id")
+    kept = _ranged(kept.unionAll(e.where("id IS NULL").select("user_id", "o.v", "id")), ["user_id", "v", "id"])
+    starts = kept.groupBy("user_id", "run").agg(F.count("*").alias("n"))
+    starts = starts.select("user_id", "run", F.coalesce(F.sum("n").over(user.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    kept = kept.withColumn("rn", F.row_number().over(Window.partitionBy("user_id", "run").orderBy("v", "id")))
+    return _carried(kept, starts).select("user_id", (F.col("start") + F.col("rn") - 1).cast("int").alias("pos"), F.col("id").alias("event_id"))
+
+
 @operator()
 def collapse_neighbours(spark, sf):
-    """In order of value, an event is dropped if one within ±1 of its id was kept; a fold over each user's ordered events."""
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("v"), F.col("event_id").alias("id")))).alias("o"))
-    near = lambda kept, x: F.exists(kept, lambda k: F.abs(k - x["id"]) <= 1)
-    fold = F.aggregate("o", F.array().cast("array<bigint>"), lambda kept, x: F.when(near(kept, x), kept).otherwise(F.array_append(kept, x["id"])))
-    return e.select("user_id", F.posexplode(fold).alias("pos", "event_id"))
+    """In order of value, an event is dropped if one within ±1 of its id was kept."""
+    return collapse(table(spark, sf, "events"))
 
 
 @operator("SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
