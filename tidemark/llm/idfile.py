@@ -36,6 +36,34 @@ def _width(x: np.ndarray) -> np.ndarray:
     return np.maximum(np.frexp(x.astype(np.float64))[1], 1).astype(np.int64)
 
 
+def _packed(low: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values packed at w bits each, the first in the lowest bits: eight values make w bytes."""
+    v = low.astype(np.uint64).reshape(len(low), -1, 8)
+    out = np.zeros((*v.shape[:2], 5), np.uint64)  # eight values of 32 bits at most, and one more to spill into
+    for k in range(8):
+        at, bit = divmod(k * w, 64)
+        out[:, :, at] |= v[:, :, k] << np.uint64(bit)
+        if bit + w > 64:
+            out[:, :, at + 1] |= v[:, :, k] >> np.uint64(64 - bit)
+    return np.ascontiguousarray(out.astype("<u8").view(np.uint8)[:, :, :w]).reshape(len(low), -1)
+
+
+def _unpacked(rows: np.ndarray, w: int) -> np.ndarray:
+    """The values of such rows."""
+    raw = np.zeros((len(rows), rows.shape[1] // w, 40), np.uint8)
+    raw[:, :, :w] = rows.reshape(len(rows), -1, w)
+    v = raw.view("<u8")
+    out = np.empty((*v.shape[:2], 8), np.uint32)
+    mask = np.uint64((1 << w) - 1)
+    for k in range(8):
+        at, bit = divmod(k * w, 64)
+        x = v[:, :, at] >> np.uint64(bit)
+        if bit + w > 64:
+            x = x | (v[:, :, at + 1] << np.uint64(64 - bit))
+        out[:, :, k] = x & mask
+    return out.reshape(len(rows), -1)
+
+
 def pack(ids: np.ndarray) -> list[bytes]:
     """Blocks of ``ids``, whose number is a multiple of BLOCK."""
     x = ids.astype(np.int64).reshape(-1, BLOCK)
@@ -43,15 +71,14 @@ def pack(ids: np.ndarray) -> list[bytes]:
     d = (x - least[:, None]).astype(np.uint32)
     at = min(BLOCK - 1, BLOCK * PERCENTILE // 100)
     width = _width(np.partition(d, at, axis=1)[:, at])
-    odd = _width(d) > width[:, None]
+    odd = (d >> (width - 1).astype(np.uint32)[:, None]) > 1
     body: list[bytes] = [b""] * len(x)
     for w in np.unique(width).tolist():
         own = np.flatnonzero(width == w)
-        low = np.where(odd[own], 0, d[own])
-        bits = ((low[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(own), BLOCK * w), axis=1, bitorder="little")
-        for i, row in zip(own.tolist(), packed, strict=True):
-            body[i] = row.tobytes()
+        rows = _packed(np.where(odd[own], 0, d[own]), w)
+        raw, size = rows.tobytes(), rows.shape[1]
+        for k, i in enumerate(own.tolist()):
+            body[i] = raw[k * size : (k + 1) * size]
     block, place = np.nonzero(odd)
     n = odd.sum(axis=1)
     end = np.cumsum(n)
@@ -62,17 +89,14 @@ def pack(ids: np.ndarray) -> list[bytes]:
 
 def unpack(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The ids of the blocks that start at ``starts`` of a byte array."""
-    take = lambda at, n: data[at[:, None] + np.arange(n)]
-    head = np.ascontiguousarray(take(starts, _HEAD))
+    take = lambda at, n: np.lib.stride_tricks.sliding_window_view(data, n)[at]
+    head = take(starts, _HEAD)
     least = np.ascontiguousarray(head[:, :4]).view("<u4").ravel()
     width, n = head[:, 4].astype(np.int64), np.ascontiguousarray(head[:, 5:7]).view("<u2").ravel().astype(np.int64)
     out = np.empty((len(starts), BLOCK), np.uint32)
     for w in np.unique(width).tolist():
         own = np.flatnonzero(width == w)
-        bits = np.unpackbits(take(starts[own] + _HEAD, BLOCK * w // 8), axis=1, bitorder="little").reshape(-1, w)
-        wide = np.zeros((len(bits), 32), np.uint8)
-        wide[:, :w] = bits
-        out[own] = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(len(own), BLOCK)
+        out[own] = _unpacked(take(starts[own] + _HEAD, BLOCK * w // 8), w)
     if n.sum():
         block = np.repeat(np.arange(len(starts)), n)
         k = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
@@ -165,7 +189,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "tex
     """Encode all texts into files below ``folder``, ascending by id over all files: a row for each file (file, path, docs, ids, bytes).
 
     The files are written when this is called, each by one task, under a passing name until it is whole, so lost or repeated tasks leave no
-    half file. ``folder`` must be one that all executors share. Nulls come first; equal ids are ordered by a hash of their text.
+    half file. ``folder`` must be one that all executors share. Nulls come first; equal ids are ordered by a hash of their text. A text of any
+    length is encoded whole, and its blocks are written as they fill; a task holds some millions of characters at once, and its longest text.
     """
     path = vocabulary or public(VOCABULARY)
     folder = folder.rstrip("/")
@@ -208,7 +233,8 @@ def read(files: DataFrame) -> DataFrame:
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     before = F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
     d = files.select("path", F.coalesce(before, F.lit(0)).alias("start"), "docs").where("docs > 0")
-    return d.select("path", "start").repartition("path").mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number of partitions of its own: adaptive execution would put all these small rows into one task
+    return d.select("path", "start").repartition(max(1, files.count())).mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
