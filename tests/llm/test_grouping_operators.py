@@ -106,9 +106,10 @@ def brute_suffixes(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 1])
-def test_suffixes(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot,node", [(64, 2000), (1, 2000), (1, 1)])
+def test_suffixes(spark, monkeypatch, hot, node):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "NODE_MAX", node)
     monkeypatch.setattr(suffixes, "SAMPLE", 2)
     r = random.Random(3)
     base = "".join(r.choice("abcdefgé ") for _ in range(1500))
@@ -125,6 +126,19 @@ def test_suffixes(spark, monkeypatch, hot):
     assert sorted((x.doc_id is None, x.n_removed == 0) for x in twice) == [(False, False), (False, False), (True, True)]
 
 
+@pytest.mark.parametrize("mask", [2**64 - 1, 2**64 - 2**61])
+def test_a_window_has_the_same_anchor_in_every_batch(monkeypatch, mask):
+    mixed = suffixes._mixed
+    monkeypatch.setattr(suffixes, "_mixed", lambda h: mixed(h) & np.uint64(mask))  # few bits: ties
+    g = np.random.default_rng(5)
+    filler = g.integers(97, 123, 3 << 20, dtype=np.uint8).tobytes()
+    for _ in range(20):
+        w = g.integers(97, 100, 100, dtype=np.uint8).tobytes()
+        alone, inside = suffixes.runs([w]), suffixes.runs([filler, w])
+        last = inside[0] == 1
+        assert all((a == b[last]).all() for a, b in zip(alone[1:], inside[1:], strict=True))
+
+
 def test_suffix_sort_orders_windows():
     g = np.random.default_rng(4)
     data = g.integers(97, 99, 3000, dtype=np.uint8)
