@@ -102,6 +102,13 @@ def test_lines_against_all_pairs(spark):
     assert [x.n_exact for x in lines.report(twice).collect()] == [0, 0]
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "key", "id", "row", "line_no", "exact", "near", "__key", "__id", "half", "w", "a.b"]
+    d = spark.createDataFrame([(1, "one line of words", *range(11)), (2, "one line of words\nanother", *range(11, 22)), (3, None, *range(11))], names)
+    got = sorted(map(tuple, lines.dedupe(d).collect()))
+    assert lines.dedupe(d).columns == names and got == [(1, "one line of words", *range(11)), (2, "another", *range(11, 22)), (3, None, *range(11))]
+
+
 def test_a_line_too_short_for_near_repeats_stands_between_none(spark):
     foot = "all of this report is for readers"
     texts = [(1, foot), (2, f"{foot} 12"), (3, f"{foot} 13"), (4, f"page {foot}\nno {foot}"), (5, foot.replace(" is ", " is now ")), (6, foot.replace(" is ", " is not "))]

@@ -16,8 +16,6 @@ from tidemark.llm.text import words
 from tidemark.session import cut, stored
 
 NEAR_WORDS = 8
-#: A key's rows are dealt over so many tasks.
-SALTS = 16
 #: Stands for a null id, before all others.
 NO_ID = -(2**63)
 _PLACE = ("doc_id", "line_no")
@@ -45,18 +43,14 @@ def _hashed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _later(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose place is not the first of their key, with that first place as ``first``.
-
-    Firsts are summed up map-side; then each is sent to all salts and a key's rows spread over them, so a hot key is no task's.
-    """
-    firsts = rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1")
+    """The rows whose place is not the first of their key, with that first place as ``first``. Firsts are summed up map-side."""
+    firsts = rows.groupBy(*keys).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return _after(rows, firsts, keys)
 
 
 def _after(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
-    firsts = firsts.select(*keys, "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*_PLACE), F.lit(SALTS)).cast("int"))
-    return salted.join(firsts, [*keys, "salt"]).where(F.struct(*_PLACE) > F.col("first"))
+    """A key has one row in ``firsts``, so what a hot key has in ``rows`` can be split over tasks: adaptive execution does so for skewed joins."""
+    return rows.join(firsts, keys).where(F.struct(*_PLACE) > F.col("first"))
 
 
 def one_edit(a: str, b: str) -> Column:
@@ -121,7 +115,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     by_doc = cut(f.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "from_", "to_")).alias("picked")))
     n_picked = by_doc.agg(F.coalesce(F.sum(F.size("picked")), F.lit(0))).first()[0]
     t = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc_id"), F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("lines"))
-    t = t.join(sized(by_doc, n_picked), "doc_id").select("doc_id", F.explode(F.expr("transform(picked, x -> struct(x.line_no, x.from_, x.to_, get(lines, x.line_no) AS line))")).alias("x"))
+    t = t.join(sized(by_doc, n_picked, 24), "doc_id").select("doc_id", F.explode(F.expr("transform(picked, x -> struct(x.line_no, x.from_, x.to_, get(lines, x.line_no) AS line))")).alias("x"))
     t = t.select("doc_id", "x.*").where("line is not null")
     t = stored(t.select(*_PLACE, "from_", "to_", words(F.lower("line")).alias("w")).dropDuplicates(list(_PLACE)).withColumn("n", F.size("w")))
     pairs = _later(_neighbourhoods(t), ["key"]).select(*_PLACE, "first").distinct()
@@ -135,32 +129,37 @@ def _left(lines: str, dropped: str) -> Column:
     return F.expr(f"array_join(transform(filter(transform({lines}, (x, i) -> struct(x, i)), y -> NOT array_contains({dropped}, y.i)), y -> y.x), '\\n')")
 
 
-def _with_text(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``docs`` with __lines, __exact and __near (line numbers, or null where nothing repeats)."""
+def _with_repeats(rows: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``rows`` (row, id, text) of ``docs``, whose columns may have any names, with exact and near: numbers of lines, or null where nothing repeats."""
     r = repeats(docs, id_col, text)
     # a line can repeat one only after edits if it is its words' first, so no line is in both lists
-    r = r.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("__exact"), F.collect_list(F.when(F.col("near"), F.col("line_no"))).alias("__near"))
-    d = docs.withColumn("__key", F.coalesce(F.col(id_col), F.lit(NO_ID)))
-    return d.join(r, d["__key"] == r["__id"], "left")
+    r = r.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list(F.when(~F.col("near"), F.col("line_no"))).alias("exact"), F.collect_list(F.when(F.col("near"), F.col("line_no"))).alias("near"))
+    return rows.join(r, F.coalesce(rows["id"], F.lit(NO_ID)) == r["key"], "left")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_lines, n_exact, n_near (lines dropped) and kept_md5 of what is left. Null text: one empty line."""
-    d = _with_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text")
+    """A row for each row of ``docs``: doc_id, n_lines, n_exact, n_near (lines dropped) and kept_md5 of what is left. Null text: one empty line.
+
+    Null ids count as one document before all others. A text of any length is cut into lines whole. An empty table gives no rows.
+    """
+    d = _with_repeats(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), docs, id_col, text)
     none = F.array().cast("array<int>")
-    d = d.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), F.coalesce("__exact", none).alias("a"), F.coalesce("__near", none).alias("b"))
+    d = d.select(F.col("id").alias("doc_id"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"), F.coalesce("exact", none).alias("a"), F.coalesce("near", none).alias("b"))
     d = d.withColumn("c", F.concat("a", "b"))
     return d.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("a").cast("long").alias("n_exact"), F.size("b").cast("long").alias("n_near"), F.md5(_left("lines", "c").cast("binary")).alias("kept_md5"))
 
 
 def dedupe(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated lines taken out of the text; rows that had words and have none left go, all other rows and columns stay. n_chars follows the text."""
-    d = _with_text(docs, id_col, text)
-    d = d.withColumn("__lines", F.split(text, "\n", -1)).withColumn("__drop", F.concat("__exact", "__near"))
-    d = d.withColumn("__text", F.when(F.col("__drop").isNull(), F.col(text)).otherwise(_left("__lines", "__drop")))
-    d = d.where(F.col("__drop").isNull() | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    new = {text: F.col("__text")} | ({"n_chars": F.length("__text").cast("long")} if "n_chars" in docs.columns else {})
-    return d.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    """``docs`` with repeated lines taken out of the text; rows that had words and have none left go, all other rows and columns stay. n_chars follows the text.
+
+    Columns of ``docs`` may have any names; null texts stay; null ids and repeated ids are treated as in ``repeats``.
+    """
+    d = _with_repeats(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text).alias("text")), docs, id_col, text)
+    d = d.select("row", "text", F.split("text", "\n", -1).alias("lines"), F.concat("exact", "near").alias("gone"))
+    d = d.select("row", "gone", F.when(F.col("gone").isNull(), F.col("text")).otherwise(_left("lines", "gone")).alias("left"))
+    d = d.where(F.col("gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    new = {text: F.col("left")} | ({"n_chars": F.length("left").cast("long")} if "n_chars" in docs.columns else {})
+    return d.select(*((new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 SQL = r"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries (rows, or array items) of at most a few dozen bytes that may be broadcast.
-MOST = 1_000_000
+#: Bytes that may be broadcast.
+MOST = 32 << 20
 
 
-def sized(side: DataFrame, entries: int, most: int = MOST) -> DataFrame:
-    """``side`` with a broadcast hint if it has at most ``most`` entries; beyond that Spark shuffles both sides."""
-    return F.broadcast(side) if entries <= most else side
+def sized(side: DataFrame, entries: int, width: int = 32) -> DataFrame:
+    """``side`` with a broadcast hint if its ``entries`` (rows, or array items) of ``width`` bytes take at most MOST; beyond that Spark shuffles both sides."""
+    return F.broadcast(side) if entries * width <= MOST else side
