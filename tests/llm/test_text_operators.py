@@ -125,12 +125,38 @@ def test_decontamination_edges(spark):
     long = " ".join("w%d" % r.randrange(10**6) for _ in range(20_000))
     docs = table(spark, [(1, long + " " + passage.upper() + "! " + long), (2, half), (3, None), (4, ""), (5, "x " + cut), (7, less), (None, passage), (1, passage), (6, "a b c")])
     bench = spark.createDataFrame([(1, passage), (2, None), (3, "a b c"), (4, "never seen words in any of these texts at all"), (None, passage), (1, passage)], "item_id long, text string")
-    assert {(x.doc_id, x.item_id, x.containment) for x in decontaminate.leaks(docs, bench).collect()} == {(1, 1, 1.0), (5, 1, 21 / 26)}
-    assert sorted((x.doc_id for x in decontaminate.clean(docs, bench).collect()), key=str) == [2, 3, 4, 6, 7, None]
+    assert {(x.doc_id, x.item_id, x.containment) for x in decontaminate.leaks(docs, bench).collect()} == {(1, 1, 1.0), (5, 1, 21 / 26), (6, 3, 1.0)}
+    assert sorted((x.doc_id for x in decontaminate.clean(docs, bench).collect()), key=str) == [2, 3, 4, 7, None]
     assert decontaminate.clean(docs, bench).columns == docs.columns
     assert not decontaminate.leaks(docs, bench.limit(0)).collect() and not decontaminate.leaks(docs.limit(0), bench).collect()
 
 
+def brute_leaks(docs, bench):
+    import re
+
+    cut = lambda t: [x for x in re.split(r"[\W_]+", (t or "").lower()) if x]
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    out = set()
+    for i, t in docs:
+        for j, u in bench:
+            w = cut(u)
+            if w:
+                own = grams(w, min(5, len(w)))
+                k = len(own & grams(cut(t), min(5, len(w))))
+                if k >= 0.8 * len(own) - 1e-9:
+                    out.add((i, j, len(own), k))
+    return out
+
+
+def test_decontamination_against_all_pairs_with_short_items(spark):
+    r = random.Random(5)
+    bench = [(k, " ".join(r.choice(WORDS) for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 4, 5, 6, 8, 9, 16, 17, 40])] + [(50, "what is two plus")]
+    docs = [(k, " ".join(r.choice([*WORDS, bench[r.randrange(12)][1]]) for _ in range(r.choice([1, 3, 30, 200])))) for k in range(60)] + [(99, "so what is two plus two then")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(x.doc_id, x.item_id, x.n_shingles, x.n_found) for x in decontaminate.leaks(d, b).collect()}
+    assert got == brute_leaks(docs, bench) and (99, 50, 1, 1) in got
+
+
 def test_licences(spark):
     mit = 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software. The above copyright notice and this permission notice shall be included in all\ncopies. The software is provided "as is", without warranty.'
     d = table(spark, [(1, mit), (2, None), (3, ""), (None, "All rights reserved."), (4, "Licensed under the Foo licence."), (5, "no terms " * 20_000), (6, "SPDX-License-Identifier: Apache-2.0"), (6, "Licensed under the Apache License, Version 2.0.")])
