@@ -158,7 +158,7 @@ def test_decontamination_against_all_pairs_with_short_items(spark):
 
 
 def test_licences(spark):
-    mit = 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software. The above copyright notice and this permission notice shall be included in all\ncopies. The software is provided "as is", without warranty.'
+    mit = 'MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software. The above copyright notice and this permission notice shall be included in all\ncopies. The software is provided "as is", without warranty of any kind.'
     d = table(spark, [(1, mit), (2, None), (3, ""), (None, "All rights reserved."), (4, "Licensed under the Foo licence."), (5, "no terms " * 20_000), (6, "SPDX-License-Identifier: Apache-2.0"), (6, "Licensed under the Apache License, Version 2.0.")])
     got = sorted(((x.doc_id, x.licences) for x in licences.scan(d).collect()), key=str)
     assert got == sorted([(1, "MIT"), (2, ""), (3, ""), (None, "proprietary"), (4, "unknown"), (5, ""), (6, "Apache-2.0"), (6, "Apache-2.0")], key=str)
@@ -168,4 +168,58 @@ def test_licences(spark):
 def test_licence_phrases_over_line_ends(spark):
     texts = ["All rights\nreserved.", "All rights\treserved", "This is in the public\n * domain.", "// Released\n// under these terms", "Distributed   under terms", "Creative\nCommons Zero", "cc\nby 4.0", "All rights\n\nwere reserved"]
     got = {x.doc_id: x.sentences for x in licences.scan(table(spark, list(enumerate(texts)))).collect()}
-    assert got == {0: "all-rights", 1: "all-rights", 2: "public-domain", 3: "some-licence", 4: "some-licence", 5: "cc0", 6: "cc-by-4", 7: ""}
+    assert got == {0: "all-rights", 1: "all-rights", 2: "public-domain", 3: "released-under", 4: "distributed-under", 5: "cc0-name", 6: "cc-by-4", 7: ""}
+
+
+BSD = """Copyright (c) 2020, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+   derived from this software without specific prior written permission.
+"""
+GPL = """
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+ZLIB = """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not
+claim that you wrote the original software."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_licences_of_published_texts_and_near_misses(spark):
+    import time
+
+    cases = [
+        (BSD, "BSD-2-Clause"), (BSD + ENDORSE, "BSD-3-Clause"), (GPL, "GPL-3.0-or-later"), (GPL.replace("General", "Lesser General"), "LGPL-3.0-or-later"), (ZLIB, "Zlib"), (ISC, "ISC"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later"), ("SPDX-License-Identifier: GPL-2.0", "GPL-2.0"), ("under the Mozilla Public License, v. 2.0", "MPL-2.0"),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("an acc0unt, accc0, cc0x", ""), ("permission is hereby given, free of charge", ""), ("smit license", ""), ("CC BY 4.0 and CC0 and cc0", "CC0-1.0,CC-BY-4.0"),
+        (BSD + "\n" + ISC, "BSD-2-Clause,ISC"), ("neither the name of " * 20_000 + "may", ""), ("x " * 200_000 + "MIT Licence", "MIT"),
+    ]
+    start = time.time()
+    assert [(licences.licences(licences.identify(licences.normalised(licences.pa.array([t]))[0].as_py()))) for t, _ in cases] == [x.split(",") if x else [] for _, x in cases]
+    assert time.time() - start < 2
+    got = {x.doc_id: x.licences for x in licences.scan(table(spark, list(enumerate(t for t, _ in cases)))).collect()}
+    assert got == dict(enumerate(x for _, x in cases))
+    r = random.Random(8)
+    known = licences._known()
+    some = [p.strip() for p in known]
+    for _ in range(200):
+        text = " " + " ".join(r.choice([r.choice(some), r.choice(WORDS), *r.choice(some).split()[:3]]) for _ in range(12)) + " "
+        at = sorted((i, i + len(p), n) for p, n in known.items() for i in range(len(text)) if text.startswith(p, i))
+        assert licences.identify(text) == [n for i, j, n in at if not any(a <= i and j <= b and b - a > j - i for a, b, _ in at)]

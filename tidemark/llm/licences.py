@@ -1,144 +1,272 @@
-"""Licence scans by sentence rules: sentences become identifiers of known licence sentences, and ordered rules match runs of identifiers."""
+"""Licence scans by sentence rules: known normalised licence sentences are found in a text, and ordered rules match runs of their identifiers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
+from functools import cache
 
-from tidemark.llm.text import let
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Known licence sentences: an identifier and a pattern of the normalised sentence (lower case, one space between words).
+# Sentences, or the unchanging part of them, as the licences and their published notices have them.
 SENTENCES = (
-    ("spdx-mit", r"spdx-license-identifier: mit\b"),
-    ("spdx-apache-2", r"spdx-license-identifier: apache-2\.0"),
-    ("spdx-bsd-3", r"spdx-license-identifier: bsd-3-clause"),
-    ("spdx-bsd-2", r"spdx-license-identifier: bsd-2-clause"),
-    ("spdx-gpl-3", r"spdx-license-identifier: gpl-3\.0"),
-    ("spdx-gpl-2", r"spdx-license-identifier: gpl-2\.0"),
-    ("spdx-mpl-2", r"spdx-license-identifier: mpl-2\.0"),
-    ("mit-name", r"(under|of) the mit licen[cs]e|^(the )?mit licen[cs]e"),
-    ("mit-grant", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included"),
-    ("as-is", r"(is provided|provided by .*) .?as is.?,? without"),
-    ("isc-grant", r"permission to use, copy, modify, and(/or)? distribute this software for any purpose"),
-    ("bsd-grant", r"redistribution and use in source and binary forms, with or without modification"),
-    ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
-    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-endorse", r"(neither the name|the names?) of .* (may|to) .*(endorse|promote)"),
-    ("apache-2", r"apache licen[cs]e,? (version )?2(\.0)?"),
-    ("gpl-later", r"gnu general public licen[cs]e.*(either version (2|3).*|or \(at your option\) )any later version|either version [23] of the license, or \(at your option\) any later version"),
-    ("gpl-3", r"gnu general public licen[cs]e,? version 3|gplv3|gpl version 3"),
-    ("gpl-2", r"gnu general public licen[cs]e,? version 2|gplv2|gpl version 2"),
-    ("lgpl", r"gnu (lesser|library) general public licen[cs]e"),
-    ("agpl-3", r"gnu affero general public licen[cs]e"),
-    ("mpl-2", r"mozilla public licen[cs]e,? (version |v\. ?)?2(\.0)?"),
-    ("cc0", r"cc0|creative commons zero"),
-    ("cc-by-nc-4", r"cc[ -]by-nc[ -]4\.0|attribution-noncommercial 4\.0"),
-    ("cc-by-sa-4", r"cc[ -]by-sa[ -]4\.0|attribution-sharealike 4\.0"),
-    ("cc-by-4", r"cc[ -]by[ -]4\.0|creative commons attribution 4\.0"),
-    ("unlicense", r"free and unencumbered software released into the public domain"),
-    ("public-domain", r"(in|into) the public domain"),
-    ("all-rights", r"all rights reserved"),
-    ("some-licence", r"(licensed|released|distributed) under"),
+    ("mit-name", "MIT License"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("mit-notice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("mit-notice-short", "The above copyright notice and this permission notice shall be included"),
+    ("as-is", 'The software is provided "as is", without warranty of any kind'),
+    ("as-is-short", 'is provided "as is", without'),
+    ("isc-name", "ISC License"),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-notice", "provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-as-is", 'The software is provided "as is" and the author disclaims all warranties with regard to this software'),
+    ("0bsd-name", "BSD Zero Clause License"),
+    ("bsd-2-name", "BSD 2-Clause License"),
+    ("bsd-3-name", "BSD 3-Clause License"),
+    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-advertising", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("bsd-endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-as-is", 'This software is provided by the copyright holders and contributors "as is" and any express or implied warranties'),
+    ("apache-2", "Apache License, Version 2.0"),
+    ("apache-2-short", "Apache License 2.0"),
+    ("apache-2-bare", "Apache 2.0 License"),
+    ("apache-comply", "you may not use this file except in compliance with the License"),
+    ("apache-basis", 'software distributed under the License is distributed on an "AS IS" BASIS'),
+    ("gpl-name", "GNU General Public License"),
+    ("gpl-2", "GNU General Public License, version 2"),
+    ("gpl-2-v", "GPLv2"),
+    ("gpl-2-words", "GPL version 2"),
+    ("gpl-3", "GNU General Public License, version 3"),
+    ("gpl-3-v", "GPLv3"),
+    ("gpl-3-words", "GPL version 3"),
+    ("later-2", "either version 2 of the License, or (at your option) any later version"),
+    ("later-3", "either version 3 of the License, or (at your option) any later version"),
+    ("later-2-1", "either version 2.1 of the License, or (at your option) any later version"),
+    ("lgpl-name", "GNU Lesser General Public License"),
+    ("lgpl-library", "GNU Library General Public License"),
+    ("agpl-name", "GNU Affero General Public License"),
+    ("mpl-2", "Mozilla Public License, version 2.0"),
+    ("mpl-2-v", "Mozilla Public License, v. 2.0"),
+    ("mpl-2-short", "Mozilla Public License 2.0"),
+    ("mpl-1-1", "Mozilla Public License Version 1.1"),
+    ("epl-1", "Eclipse Public License v1.0"),
+    ("epl-1-words", "Eclipse Public License 1.0"),
+    ("epl-2", "Eclipse Public License v2.0"),
+    ("epl-2-v", "Eclipse Public License v. 2.0"),
+    ("epl-2-words", "Eclipse Public License 2.0"),
+    ("cddl-1", "Common Development and Distribution License"),
+    ("eupl-1-2", "European Union Public Licence v. 1.2"),
+    ("artistic-2", "Artistic License 2.0"),
+    ("zlib-use", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("zlib-origin", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
+    ("boost-1", "Boost Software License, Version 1.0"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("wtfpl", "Do What The Fuck You Want To Public License"),
+    ("ofl-1-1", "SIL Open Font License, Version 1.1"),
+    ("psf-2", "Python Software Foundation License Version 2"),
+    ("postgresql", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("upl-1", "Universal Permissive License v 1.0"),
+    ("ncsa", "University of Illinois/NCSA Open Source License"),
+    ("ms-pl", "Microsoft Public License"),
+    ("cc0", "CC0"),
+    ("cc0-1", "CC0 1.0"),
+    ("cc0-name", "Creative Commons Zero"),
+    ("cc-by-4", "CC BY 4.0"),
+    ("cc-by-4-name", "Creative Commons Attribution 4.0"),
+    ("cc-by-3", "CC BY 3.0"),
+    ("cc-by-3-name", "Creative Commons Attribution 3.0"),
+    ("cc-by-sa-4", "CC BY-SA 4.0"),
+    ("cc-by-sa-4-name", "Attribution-ShareAlike 4.0"),
+    ("cc-by-sa-3", "CC BY-SA 3.0"),
+    ("cc-by-sa-3-name", "Attribution-ShareAlike 3.0"),
+    ("cc-by-nc-4", "CC BY-NC 4.0"),
+    ("cc-by-nc-4-name", "Attribution-NonCommercial 4.0"),
+    ("cc-by-nd-4", "CC BY-ND 4.0"),
+    ("cc-by-nd-4-name", "Attribution-NoDerivatives 4.0"),
+    ("cc-by-nc-sa-4", "CC BY-NC-SA 4.0"),
+    ("cc-by-nc-sa-4-name", "Attribution-NonCommercial-ShareAlike 4.0"),
+    ("cc-by-nc-nd-4", "CC BY-NC-ND 4.0"),
+    ("cc-by-nc-nd-4-name", "Attribution-NonCommercial-NoDerivatives 4.0"),
+    ("public-domain", "in the public domain"),
+    ("into-public-domain", "into the public domain"),
+    ("all-rights", "All rights reserved"),
+    ("some-licence", "licensed under"),
+    ("released-under", "released under"),
+    ("distributed-under", "distributed under"),
 )
-#: Ordered rules: the licence and its identifiers, one after the other. An earlier rule takes its sentences from later ones.
+# Ordered rules: a licence and identifiers, one after the other. An earlier rule takes its sentences from later ones.
 RULES = (
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "as-is")),
+    ("MIT", ("mit-grant", "mit-notice-short", "as-is")),
+    ("MIT", ("mit-grant", "mit-notice")),
+    ("MIT", ("mit-grant", "mit-notice-short")),
+    ("MIT-0", ("mit-grant", "as-is")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "as-is")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("ISC", ("isc-grant", "as-is")),
-    ("MIT", ("mit-grant", "mit-notice")),
-    ("ISC", ("isc-grant",)),
-    ("MIT", ("mit-name", "some-licence")),
+    ("BSD-1-Clause", ("bsd-grant", "bsd-source")),
+    ("ISC", ("isc-grant", "isc-notice", "isc-as-is")),
+    ("ISC", ("isc-grant", "isc-notice")),
+    ("0BSD", ("isc-grant", "isc-as-is")),
+    ("0BSD", ("0bsd-name",)),
+    ("ISC", ("isc-name",)),
+    ("Zlib", ("zlib-use", "zlib-origin")),
+    ("GPL-2.0-or-later", ("gpl-name", "later-2")),
+    ("GPL-3.0-or-later", ("gpl-name", "later-3")),
+    ("LGPL-2.1-or-later", ("lgpl-name", "later-2-1")),
+    ("LGPL-3.0-or-later", ("lgpl-name", "later-3")),
+    ("LGPL-2.0-or-later", ("lgpl-library", "later-2")),
+    ("AGPL-3.0-or-later", ("agpl-name", "later-3")),
+    ("Apache-2.0", ("apache-2", "apache-comply", "apache-basis")),
     ("MIT", ("mit-name",)),
-    ("MIT", ("spdx-mit",)),
-    ("Apache-2.0", ("apache-2", "some-licence")),
-    ("Apache-2.0", ("apache-2",)),
-    ("Apache-2.0", ("spdx-apache-2",)),
-    ("BSD-3-Clause", ("spdx-bsd-3",)),
-    ("BSD-2-Clause", ("spdx-bsd-2",)),
-    ("GPL-or-later", ("gpl-later",)),
-    ("GPL-3.0", ("gpl-3", "some-licence")),
-    ("GPL-3.0", ("gpl-3",)),
-    ("GPL-3.0", ("spdx-gpl-3",)),
-    ("GPL-2.0", ("gpl-2", "some-licence")),
-    ("GPL-2.0", ("gpl-2",)),
-    ("GPL-2.0", ("spdx-gpl-2",)),
-    ("LGPL", ("lgpl",)),
-    ("AGPL-3.0", ("agpl-3",)),
-    ("MPL-2.0", ("mpl-2",)),
-    ("MPL-2.0", ("spdx-mpl-2",)),
-    ("CC-BY-NC-4.0", ("cc-by-nc-4", "some-licence")),
-    ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
-    ("CC-BY-SA-4.0", ("cc-by-sa-4", "some-licence")),
-    ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
-    ("CC-BY-4.0", ("cc-by-4", "some-licence")),
-    ("CC-BY-4.0", ("cc-by-4",)),
-    ("CC0-1.0", ("cc0",)),
+    ("BSD-2-Clause", ("bsd-2-name",)),
+    ("BSD-3-Clause", ("bsd-3-name",)),
+    *(("Apache-2.0", (x,)) for x in ("apache-2", "apache-2-short", "apache-2-bare")),
+    *(("GPL-3.0", (x,)) for x in ("gpl-3", "gpl-3-v", "gpl-3-words")),
+    *(("GPL-2.0", (x,)) for x in ("gpl-2", "gpl-2-v", "gpl-2-words")),
+    ("GPL", ("gpl-name",)),
+    ("LGPL", ("lgpl-name",)),
+    ("LGPL", ("lgpl-library",)),
+    ("AGPL-3.0", ("agpl-name",)),
+    *(("MPL-2.0", (x,)) for x in ("mpl-2", "mpl-2-v", "mpl-2-short")),
+    ("MPL-1.1", ("mpl-1-1",)),
+    *(("EPL-1.0", (x,)) for x in ("epl-1", "epl-1-words")),
+    *(("EPL-2.0", (x,)) for x in ("epl-2", "epl-2-v", "epl-2-words")),
+    ("CDDL-1.0", ("cddl-1",)),
+    ("EUPL-1.2", ("eupl-1-2",)),
+    ("Artistic-2.0", ("artistic-2",)),
+    ("BSL-1.0", ("boost-1",)),
     ("Unlicense", ("unlicense",)),
+    ("WTFPL", ("wtfpl",)),
+    ("OFL-1.1", ("ofl-1-1",)),
+    ("PSF-2.0", ("psf-2",)),
+    ("PostgreSQL", ("postgresql",)),
+    ("UPL-1.0", ("upl-1",)),
+    ("NCSA", ("ncsa",)),
+    ("MS-PL", ("ms-pl",)),
+    *(("CC0-1.0", (x,)) for x in ("cc0-1", "cc0", "cc0-name")),
+    *((f"CC-{x.upper()}.0", (f"cc-{x}{y}",)) for x in ("by-4", "by-3", "by-sa-4", "by-sa-3", "by-nc-4", "by-nd-4", "by-nc-sa-4", "by-nc-nd-4") for y in ("", "-name")),
     ("public-domain", ("public-domain",)),
+    ("public-domain", ("into-public-domain",)),
     ("proprietary", ("all-rights",)),
-    ("unknown", ("some-licence",)),
+    *(("unknown", (x,)) for x in ("some-licence", "released-under", "distributed-under")),
 )
-#: The SQL's gate, with one plain space between words.
-HINT = r"(?i)licen[cs]e|spdx|gpl|permission|redistribution|as is|\bcc0|cc[ -]by|creative commons|attribution-|endorse|promote|public domain|rights reserved|(released|distributed) under"
-#: A text without any of these has no known sentence: HINT with all between its words that becomes one space before sentences are matched.
-GATE = HINT.replace("[ -]", r"(-|[\s/*#]+)").replace(" ", r"[\s/*#]+")
-ENDS = r"[.!?;]+ |\n"
+#: Named only where no other licence is.
+LAST = ("proprietary", "unknown")
+#: Tags: every licence of the rules has one.
+_TAGGED = tuple(x for x in dict.fromkeys(n for n, _ in RULES) if x not in (*LAST, "public-domain", "GPL", "LGPL"))
+TAGS = tuple((f"spdx-{x.lower()}", f"SPDX-License-Identifier: {x}") for x in _TAGGED)
+ALL_SENTENCES = SENTENCES + TAGS
+ALL_RULES = (*((x, (f"spdx-{x.lower()}",)) for x in _TAGGED), *RULES)
+#: All but letters, digits and plus signs parts words: white space, line ends, comment marks, punctuation.
+_BETWEEN = r"[^\p{L}\p{N}+]+"
+_CHARS = 4_000_000
+
+
+def normalised(texts: pa.Array) -> pa.Array:
+    """Lower-cased words with one space before, between and after them; licence and license are one word."""
+    words = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), _BETWEEN, " ")
+    words = pc.utf8_trim(pc.replace_substring(words, "licence", "license"), " ")
+    space = pa.scalar(" ", pa.large_string())
+    return pc.binary_join_element_wise(space, words, space, pa.scalar("", pa.large_string()))
+
+
+def _known() -> dict[str, str]:
+    out = dict(zip(normalised(pa.array([s for _, s in ALL_SENTENCES])).to_pylist(), (i for i, _ in ALL_SENTENCES), strict=True))
+    if len(out) < len(ALL_SENTENCES):
+        raise ValueError("two sentences with the same words")
+    return out
+
+
+@cache
+def _automaton():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for phrase, name in _known().items():
+        a.add_word(phrase, (len(phrase), name))
+    a.make_automaton()
+    return a
 
 
 def _pattern(ids: tuple[str, ...]) -> str:
-    return "".join(rf"\|{i}\|" for i in ids)
+    return "".join(f"|{i}|" for i in ids)
 
 
-def identify(text: Column) -> Column:
-    """The identifiers of a text's known licence sentences, in the order of the sentences (in one sentence: of the table).
+def identify(text: str) -> list[str]:
+    """The identifiers of the known sentences in a normalised text, in order. One that lies within a longer one doesn't count."""
+    found = sorted((end + 1 - n, -end, name) for end, (n, name) in _automaton().iter(text))
+    out, far = [], -1
+    for _, end, name in found:
+        if -end > far:
+            out.append(name)
+            far = -end
+    return out
 
-    A sentence ends at . ! ? or ; before a space, or where its line ends. Lines that end within a known sentence are also tried joined: the
-    text is cut into sentences once more with its line ends taken as spaces if that knows more of them.
-    """
-    known = lambda s: F.filter(F.array(*(F.when(s.rlike(p), F.lit(i)) for i, p in SENTENCES)), lambda x: x.isNotNull())
-    cut = lambda t: F.flatten(F.transform(F.split(t, ENDS), lambda s: known(F.trim(F.regexp_replace(s, r"[ \t\r\f/*#]+", " ")))))
-    t = F.lower(F.coalesce(text, F.lit("")))
-    found = let(F.array(cut(t), cut(F.replace(t, F.lit("\n"), F.lit(" ")))), lambda x: F.when(F.size(F.get(x, 1)) > F.size(F.get(x, 0)), F.get(x, 1)).otherwise(F.get(x, 0)))
-    return F.when(text.rlike(GATE), found).otherwise(F.array().cast("array<string>"))
+
+def licences(ids: list[str]) -> list[str]:
+    """The licences whose rules match, once each, in rule order."""
+    seq, hits = _pattern(tuple(ids)), []
+    for name, own in ALL_RULES:
+        p = _pattern(own)
+        if p in seq:
+            seq = seq.replace(p, "#")
+            hits.append(name)
+    named = [n for n in hits if n not in LAST]
+    return list(dict.fromkeys(named or hits))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: doc_id, sentences and licences (identifiers joined by commas), n_sentences.
 
-    licences names every rule that matched, once, in rule order; a text without known sentences has empty strings. Null texts are empty,
-    null ids stay, repeated rows each get a row. Nothing is shuffled: a text's sentences are matched where it is read.
+    A sentence is known by its words, wherever they stand one after the other, whatever white space, line ends, comment marks or punctuation part
+    them. All are found in one pass over a text of any length, in time that grows with its length. Of sentences with a common start the
+    longest counts; equal ones count each time. A text without known sentences has empty strings. Null texts are empty, null ids stay, repeated
+    rows each get a row, an empty table gives no rows, other columns are not read. Nothing is shuffled.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), identify(F.col(text)).alias("s"))
-    rules = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(_pattern(i)).alias("pattern")) for n, i in RULES))
-    joined = F.array_join(F.transform("s", lambda x: F.concat(F.lit("|"), x, F.lit("|"))), "")
-    start = F.struct(joined.alias("seq"), F.array().cast("array<string>").alias("hits"))
 
-    def step(a: Column, r: Column) -> Column:
-        hits = F.when(F.regexp_like(a["seq"], r["pattern"]), F.array_append(a["hits"], r["name"])).otherwise(a["hits"])
-        return F.struct(F.regexp_replace(a["seq"], r["pattern"], F.lit("#")).alias("seq"), hits.alias("hits"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_string()).fill_null("")
+            total = pc.cumulative_sum(pc.utf8_length(texts).cast(pa.int64())).to_numpy() // _CHARS
+            start = 0
+            while start < len(texts):
+                end = start + max(1, int((total[start:] == total[start]).sum()))
+                ids = [identify(t) for t in normalised(texts.slice(start, end - start)).to_pylist()]
+                names = [",".join(licences(i)) if i else "" for i in ids]
+                columns = [batch.column(0).slice(start, end - start), pa.array([",".join(i) for i in ids], pa.string()), pa.array(names, pa.string()), pa.array([len(i) for i in ids], pa.int64())]
+                yield pa.record_batch(columns, names=["doc_id", "sentences", "licences", "n_sentences"])
+                start = end
 
-    hits = F.when(F.size("s") > 0, F.array_distinct(F.aggregate(rules, start, step, lambda a: a["hits"]))).otherwise(F.array().cast("array<string>"))
-    return d.select("doc_id", F.array_join("s", ",").alias("sentences"), F.array_join(hits, ",").alias("licences"), F.size("s").cast("long").alias("n_sentences"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, sentences string, licences string, n_sentences long")
 
 
 def _sql() -> str:
-    known = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN '{i}' END" for i, p in SENTENCES) + "], lambda x: x IS NOT NULL)"
-    cut = lambda t: rf"flatten(list_transform(list_transform(regexp_split_to_array({t}, '{ENDS}'), lambda q: trim(regexp_replace(q, '[ \t\r\f/*#]+', ' ', 'g'))), lambda s: {known}))"
-    steps = ["s0 AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda x: '|' || x || '|'), 'string_agg', '') AS seq, CAST([] AS VARCHAR[]) AS hits FROM e)"]
-    for k, (name, ids) in enumerate(RULES):
+    """Every sentence is looked for by itself; between words there are two spaces, so that neighbours don't share one."""
+    known = ", ".join(f"('{i}', ' {p.strip().replace(' ', '  ')} ')" for p, i in _known().items())
+    steps = ["s0 AS (SELECT doc_id, seq, CAST([] AS VARCHAR[]) AS hits FROM e)"]
+    for k, (name, ids) in enumerate(ALL_RULES):
         p = _pattern(ids)
-        steps.append(f"s{k + 1} AS (SELECT doc_id, ids, regexp_replace(seq, '{p}', '#', 'g') AS seq, CASE WHEN regexp_matches(seq, '{p}') AND NOT list_contains(hits, '{name}') THEN list_append(hits, '{name}') ELSE hits END AS hits FROM s{k})")
-    return f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS t FROM documents),
-c AS (SELECT doc_id, text, {cut("t")} AS a, {cut("replace(t, chr(10), ' ')")} AS b FROM t WHERE regexp_matches(text, '{HINT}')),
-e AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS ids FROM c),
-{", ".join(steps)}
-SELECT t.doc_id, coalesce(array_to_string(s.ids, ','), '') AS sentences, coalesce(array_to_string(s.hits, ','), '') AS licences, CAST(coalesce(len(s.ids), 0) AS BIGINT) AS n_sentences
-FROM t LEFT JOIN s{len(RULES)} s ON t.doc_id = s.doc_id
+        steps.append(f"s{k + 1} AS (SELECT doc_id, replace(seq, '{p}', '#') AS seq, CASE WHEN contains(seq, '{p}') AND NOT list_contains(hits, '{name}') THEN list_append(hits, '{name}') ELSE hits END AS hits FROM s{k})")
+    last = ", ".join(f"'{x}'" for x in LAST)
+    return rf"""
+WITH n AS (SELECT doc_id, ' ' || replace(replace(trim(regexp_replace(lower(coalesce(text, '')), '{_BETWEEN}', ' ', 'g')), ' ', '  '), 'licence', 'license') || ' ' AS t FROM documents),
+k(id, p) AS (VALUES {known}),
+q AS (SELECT doc_id, id, p, string_split(t, p) AS q FROM n, k WHERE contains(t, p)),
+o AS (SELECT doc_id, id, length(p) AS n, list_sum(list_transform(q[1:j], lambda x: length(x))) + (j - 1) * length(p) AS s FROM q, unnest(range(1, len(q))) AS r(j)),
+w AS (SELECT * FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.doc_id = a.doc_id AND b.n > a.n AND b.s <= a.s AND b.s + b.n >= a.s + a.n)),
+e AS (SELECT doc_id, string_agg(id, ',' ORDER BY s) AS ids, string_agg('|' || id || '|', '' ORDER BY s) AS seq, count(*) AS n FROM w GROUP BY doc_id),
+{", ".join(steps)},
+h AS (SELECT doc_id, hits, list_filter(hits, lambda x: x NOT IN ({last})) AS named FROM s{len(ALL_RULES)})
+SELECT n.doc_id, coalesce(e.ids, '') AS sentences, coalesce(array_to_string(CASE WHEN len(h.named) > 0 THEN h.named ELSE h.hits END, ','), '') AS licences, CAST(coalesce(e.n, 0) AS BIGINT) AS n_sentences
+FROM n LEFT JOIN e ON n.doc_id = e.doc_id LEFT JOIN h ON n.doc_id = h.doc_id
 """
 
 
