@@ -227,6 +227,47 @@ def test_dot_product_bins_keep_every_limit():
     assert where.max() + 1 <= 1.15 * max(np.ceil(demand.sum(axis=0) / limit))
 
 
+def naive_bins(demand, limit):
+    """The heuristic as it is told: item by item, in exact fractions."""
+    from fractions import Fraction
+
+    left, bins = list(range(len(demand))), []
+    room = list(limit)
+    while left:
+        fits = [i for i in left if all(d <= r for d, r in zip(demand[i], room, strict=True))]
+        if not fits:
+            room = list(limit)
+            bins.append([])
+            continue
+        bins = bins or [[]]
+        best = max(fits, key=lambda i: (sum(Fraction(d * r, x * x) for d, r, x in zip(demand[i], room, limit, strict=True)), [-d for d in demand[i]], -i))
+        bins[-1].append(best)
+        room = [r - d for r, d in zip(room, demand[best], strict=True)]
+        left.remove(best)
+    return bins
+
+
+def test_dot_product_bins_are_those_of_the_naive_greedy():
+    g = np.random.default_rng(11)
+    limit = [64, 4, 32]  # powers of two: products of shares are exact
+    demand = [[int(a), 1, int(g.integers(0, min(a, 30)))] for a in g.integers(1, 60, 150)]
+    where, place = packing.dot_product_bins(np.array(demand), np.array(limit))
+    want = naive_bins(demand, limit)
+    got = [sorted(np.flatnonzero(where == b).tolist(), key=lambda i: place[i]) for b in range(where.max() + 1)]
+    assert [[demand[i] for i in b] for b in got] == [[demand[i] for i in b] for b in want]
+
+
+def test_instruction_packing_keeps_a_loss_limit_that_binds(spark, sf):
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("key", packing.F.lit(1))
+    n = turns.count()
+    limits = (512, 16, 128)
+    got = packing.instruction_sequences(turns, limits=limits).toPandas()
+    by = got.groupby("sequence_id").agg(n=("length", "sum"), s=("length", "size"), l=("loss", "sum"))
+    assert (by.n <= 512).all() and (by.s <= 16).all() and (by.l <= 128).all() and (by.l == 128).any() | (by.l > 100).sum() > 3
+    assert len(got[got.start == 0]) == n and (got.loss == got.length.where(got.role == "assistant", 0)).all()
+    assert not packing.instruction_sequences(turns.limit(0)).collect()
+
+
 def test_toxicity_gradient():
     net = toxicity.Network(4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

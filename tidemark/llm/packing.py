@@ -59,22 +59,27 @@ def dot_product_bins(demand: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray,
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, size: int = MAX_TOKENS) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): each text's ids with the end id, cut every ``size`` ids. Null texts are empty: one id."""
+    """(doc_id, start, length, ids_crc32, doc_tokens): each text's ids with the end id, cut every ``size`` ids. Null texts are empty: one id.
+
+    The id column keeps its type. A text of any length is encoded whole, in the task that reads it.
+    """
     path = vocabulary or public(VOCABULARY)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist()), strict=True):
+            for row, ids in enumerate(enc.encode(batch.column(1).to_pylist())):
                 wide = ids.astype("<u4")
                 for start in range(0, len(wide), size):
                     part = wide[start : start + size]
-                    rows.append((doc, start, len(part), zlib.crc32(part), len(wide)))
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names=names)
+                    rows.append((row, start, len(part), zlib.crc32(part), len(wide)))
+            c = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
+            yield pa.record_batch([batch.column(0).take(c[0]), *c[1:]], names=names)
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, ", ".join(f"{c} long" for c in names))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    return d.mapInArrow(cut, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def pack(items: DataFrame, groups: int, loss: str = "length", limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS)) -> DataFrame:
@@ -99,15 +104,29 @@ def pack(items: DataFrame, groups: int, loss: str = "length", limits: tuple[int,
         frame["offset"] = offset
         return frame[[*columns, "sequence_id", "offset"]]
 
-    group = F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)).alias("__group")
+    # by all of a piece's place and content: the pieces of one huge text, or of many rows without an id, are dealt over all groups
+    group = F.pmod(F.xxhash64("doc_id", "doc_tokens", "start", "ids_crc32"), F.lit(groups)).alias("__group")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
     return items.select("*", group).groupBy("__group").applyInPandas(one, schema)
 
 
+def instruction_sequences(turns: DataFrame, id_col: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", vocabulary: str | None = None, limits: tuple[int, int, int] = (MAX_TOKENS, MAX_SEGMENTS, MAX_TOKENS // 2)) -> DataFrame:
+    """All turns of conversations packed under all three limits; ``loss`` (long) of a piece is its length if the assistant speaks, else 0.
+
+    A row for each piece: doc_id (the conversation), turn, role, start, length, ids_crc32, doc_tokens (of the turn), loss, sequence_id, offset. Pieces
+    are cut so that each is within the limits. Turns are packed one by one, so one huge conversation is dealt like any others.
+    """
+    size = min(limits[0], limits[2])
+    key = turns.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col(turn).alias("turn"), F.col(role).alias("role")).alias("key"), F.col(text).alias("text"))
+    p = pieces(key, "key", "text", vocabulary, size)
+    items = p.select("doc_id.*", *p.columns[1:]).withColumn("loss", F.when(F.col("role") == "assistant", F.col("length")).otherwise(F.lit(0)).cast("long"))
+    return pack(items, max(1, -(-turns.count() // GROUP_TEXTS)), "loss", limits)
+
+
 def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """All texts of ``docs`` packed into sequences of at most MAX_TOKENS ids: a row for each piece.
 
     Empty and null texts are their end id. Repeated rows and null ids are packed like others. An empty table gives no rows. Other columns are not read.
     """
     groups = max(1, -(-docs.count() // GROUP_TEXTS))
-    return pack(pieces(docs, id_col, text, vocabulary), groups)
+    return pack(pieces(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), vocabulary=vocabulary), groups)
