@@ -36,12 +36,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local runs)."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset: a temporary one if the master is local (tests), else an error."""
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir")
     if shared is None:
         shared = sc.getCheckpointDir()
         if shared is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
             shared = sc.getCheckpointDir()
     elif sc.getCheckpointDir() is None:
