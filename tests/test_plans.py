@@ -38,7 +38,7 @@ def test_chunks_of_a_very_long_document_stay_its_own(spark, sf, tmp_path):
     from tidemark.sources.tables import table
 
     tail = " ".join(["apple"] * 40)
-    table(spark, sf, "benchmark").limit(0).unionByName(spark.createDataFrame([(4, "apple pear")], "item_id long, text string"), allowMissingColumns=True).write.parquet(f"{tmp_path}/benchmark.parquet")
+    table(spark, sf, "benchmark").limit(0).unionByName(spark.createDataFrame([(20, "apple pear")], "item_id long, text string"), allowMissingColumns=True).write.parquet(f"{tmp_path}/benchmark.parquet")
     table(spark, sf, "embeddings").limit(0).write.parquet(f"{tmp_path}/embeddings.parquet")
     docs = [(1, " ".join(["filler"] * 36_000) + " " + tail), (2, "apple and pear")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -17,7 +17,7 @@ def fold(text: str | None) -> str | None:
     if text.isascii():
         return text.lower()
     t = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).casefold())
-    return unicodedata.normalize("NFC", "".join(c for c in t if not unicodedata.category(c).startswith("M"))).replace("ı", "i")
+    return "".join(c for c in t if not unicodedata.category(c).startswith("M")).replace("ı", "i")
 
 
 @F.pandas_udf(StringType())
@@ -55,7 +55,7 @@ def shingles(words: Column, n: int) -> Column:
 
 #: Kinds of personal data and secrets, in the order in which they are masked. Patterns use what Java's and RE2's dialects share.
 RULES = (
-    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s:,-]*-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\s]*)"),
     ("aws-key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
     ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
     ("bearer", r"\b[Bb]earer [A-Za-z0-9._~+/-]{16,}"),

@@ -37,10 +37,10 @@ def prefix_df(spark, sf):
     return df.crossJoin(F.broadcast(n)).select("prefix", F.least("n", "s").alias("df"))
 
 
-@operator("SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS priorities, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS n_f FROM orders WHERE o_custkey % 20 = 0 GROUP BY o_custkey")
+@operator("SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS priorities, CAST(count(*) FILTER (o_orderstatus = 'F') AS BIGINT) AS n_f FROM orders GROUP BY o_custkey")
 def listagg_slugs(spark, sf):
     """Ordered string aggregation."""
-    o = table(spark, sf, "orders").where("o_custkey % 20 = 0")
+    o = table(spark, sf, "orders")
     return o.groupBy("o_custkey").agg(F.expr("listagg(o_orderpriority, ',') WITHIN GROUP (ORDER BY o_orderkey)").alias("priorities"), F.count_if(F.col("o_orderstatus") == "F").alias("n_f"))
 
 
@@ -142,10 +142,10 @@ def best_threshold(spark, sf):
     return E.best_threshold(scores(spark, sf), "s", "y").select("threshold", F.round("youden", 6).alias("youden"))
 
 
-@operator(f"WITH {_DT}, pool AS (SELECT doc_id, source FROM documents WHERE doc_id % 25 = 0), n AS (SELECT source, count(*) AS n FROM pool GROUP BY source), f AS (SELECT source, tok, count(*) AS df FROM dt JOIN pool USING (doc_id) GROUP BY ALL) SELECT source, CAST(count(*) AS BIGINT) AS distinctive FROM f JOIN n USING (source) WHERE df <= greatest(2, 0.3 * n) AND df > 1 GROUP BY source")
+@operator(f"WITH {_DT}, pool AS (SELECT doc_id, source FROM documents), n AS (SELECT source, count(*) AS n FROM pool GROUP BY source), f AS (SELECT source, tok, count(*) AS df FROM dt JOIN pool USING (doc_id) GROUP BY ALL) SELECT source, CAST(count(*) AS BIGINT) AS distinctive FROM f JOIN n USING (source) WHERE df <= greatest(2, 0.3 * n) AND df > 1 GROUP BY source")
 def pool_df(spark, sf):
     """Shared terms that few of a pool have."""
-    pool = table(spark, sf, "documents").where("doc_id % 25 = 0").select("doc_id", "source")
+    pool = table(spark, sf, "documents").select("doc_id", "source")
     n = pool.groupBy("source").agg(F.count("*").alias("n"))
     f = doc_terms(spark, sf).join(pool, "doc_id").groupBy("source", "tok").agg(F.count("*").alias("df"))
     return f.join(n, "source").where("df <= greatest(2, 0.3 * n) AND df > 1").groupBy("source").agg(F.count("*").alias("distinctive"))
@@ -183,11 +183,11 @@ def lint_counts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(r).alias("rule")).where("rule IS NOT NULL").groupBy("rule").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@operator("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 5 = 0), p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(1 - list_dot_product(a.e, b.e)) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY ALL),
+@operator("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(1 - list_dot_product(a.e, b.e)) AS d FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY ALL),
 s AS (SELECT vec_id, la, min(d) FILTER (la = lb) AS a, min(d) FILTER (la <> lb) AS b FROM p GROUP BY ALL) SELECT la AS label, round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 4) AS silhouette, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY la""")
 def silhouette(spark, sf):
     """Mean silhouette by label. With unit vectors the mean distance to a label is 1 minus the dot product with its sum, so no pairs are made."""
-    v = table(spark, sf, "embeddings").where("vec_id % 5 = 0").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    v = table(spark, sf, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     s = v.select("label", F.posexplode("e")).groupBy("label", "pos").agg(F.sum("col").alias("c")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("sum"))
     n = v.groupBy("label").agg(F.count("*").alias("k"))
     c = F.broadcast(s.join(n, "label").select(F.col("label").alias("other"), "sum", "k"))  # a row for each label

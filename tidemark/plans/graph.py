@@ -14,12 +14,12 @@ from tidemark.sources.tables import table
 
 def parents(spark, sf):
     w = Window.partitionBy("logical_id").orderBy("valid_from", "version_id")
-    v = versions(spark, sf).where("logical_id % 10 = 0")
+    v = versions(spark, sf)
     same = F.lag("status").over(w) == F.col("status")
     return v.select(F.col("version_id").alias("node"), F.when(same, F.lag("version_id").over(w)).alias("parent"))
 
 
-_PAR = f"{VERSIONS}, par AS (SELECT version_id AS node, CASE WHEN lag(status) OVER w = status THEN lag(version_id) OVER w END AS parent FROM versions WHERE logical_id % 10 = 0 WINDOW w AS (PARTITION BY logical_id ORDER BY valid_from, version_id))"
+_PAR = f"{VERSIONS}, par AS (SELECT version_id AS node, CASE WHEN lag(status) OVER w = status THEN lag(version_id) OVER w END AS parent FROM versions WINDOW w AS (PARTITION BY logical_id ORDER BY valid_from, version_id))"
 
 
 @operator(f"WITH RECURSIVE {_PAR}, c AS (SELECT node, parent AS ancestor, 1 AS depth FROM par WHERE parent IS NOT NULL UNION ALL SELECT c.node, p.parent, c.depth + 1 FROM c JOIN par p ON p.node = c.ancestor WHERE p.parent IS NOT NULL) SELECT node, ancestor, depth FROM c")
@@ -28,12 +28,12 @@ def ancestor_chain(spark, sf):
     return G.chains(parents(spark, sf))
 
 
-@operator(f"WITH {EDGES} SELECT DISTINCT e.dst, e.src, f.dst AS next FROM edges e LEFT JOIN edges f ON f.src = e.dst WHERE e.src % 10 = 0")
+@operator(f"WITH {EDGES} SELECT DISTINCT e.dst, e.src, f.dst AS next FROM edges e LEFT JOIN edges f ON f.src = e.dst")
 def one_hop(spark, sf):
     """Links and where they go on."""
     e = edges(spark, sf)
     f = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    return e.where("src % 10 = 0").join(f, "dst", "left").select("dst", "src", "next").distinct()
+    return e.join(f, "dst", "left").select("dst", "src", "next").distinct()
 
 
 @operator(f"WITH RECURSIVE {EDGES}, r AS (SELECT CAST(399 AS BIGINT) AS node UNION SELECT 398 UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r")
@@ -58,13 +58,13 @@ def cycle_edges(spark, sf):
 
 
 @operator(f"""WITH {EDGES}, l AS (SELECT src, dst, CASE WHEN (src + dst) % 3 = 0 THEN 'part' ELSE 'whole' END AS scope FROM edges),
-h AS (SELECT DISTINCT l_suppkey % 10 AS q, l_partkey % 400 AS item FROM lineitem WHERE l_linenumber = 3 AND l_quantity > 40),
+h AS (SELECT DISTINCT l_suppkey % 10 AS q, l_partkey AS item FROM lineitem WHERE l_linenumber = 3 AND l_quantity > 40),
 f AS (SELECT a.q, a.item, bool_or(scope = 'whole') AS hidden, bool_or(scope = 'part') AS demoted FROM h a JOIN l ON dst = a.item JOIN h b ON b.q = a.q AND b.item = src GROUP BY ALL)
 SELECT h.q, h.item, coalesce(hidden, false) AS hidden, coalesce(demoted, false) AS demoted FROM h LEFT JOIN f USING (q, item)""")
 def supersession_hide(spark, sf):
     """A link hides or demotes its target only among hits."""
     l = edges(spark, sf).withColumn("scope", F.when((F.col("src") + F.col("dst")) % 3 == 0, "part").otherwise("whole"))
-    h = table(spark, sf, "lineitem").where("l_linenumber = 3 AND l_quantity > 40").select((F.col("l_suppkey") % 10).alias("q"), (F.col("l_partkey") % 400).alias("item")).distinct()
+    h = table(spark, sf, "lineitem").where("l_linenumber = 3 AND l_quantity > 40").select((F.col("l_suppkey") % 10).alias("q"), F.col("l_partkey").alias("item")).distinct()
     return G.supersede(h, l, ["q"])
 
 
@@ -78,7 +78,7 @@ def provenance(spark, sf):
 
 @operator()
 def topological_order(spark, sf):
-    """Kahn's order inside each project, the smallest first; items on cycles come last by number. A project's links are few, so a project is a group."""
+    """Kahn's order inside each project, the smallest first; items on cycles come last by number. A project is fifty items next to each other, so a group is bounded and their number grows."""
 
     def kahn(frame: pd.DataFrame) -> pd.DataFrame:
         import heapq
@@ -98,8 +98,9 @@ def topological_order(spark, sf):
                 need[m] -= 1
                 if not need[m]:
                     heapq.heappush(heap, m)
-        order += [n for n in nodes if n not in set(order)]
+        done = set(order)
+        order += [n for n in nodes if n not in done]
         return pd.DataFrame({"project": int(frame["project"].iloc[0]), "item": order, "place": range(len(order))})
 
-    e = edges(spark, sf).withColumn("project", F.col("src") % 20)
+    e = edges(spark, sf).withColumn("project", (F.col("src") / 50).cast("long"))
     return e.groupBy("project").applyInPandas(kahn, "project long, item long, place long")

@@ -13,9 +13,9 @@ from tidemark.sources.tables import table
 
 _CLEAN = r"list_filter(list_transform(words, lambda x: regexp_replace(lower(x), '[^\p{L}\p{N}_]', '', 'g')), lambda x: x <> '')"
 _IDX = f"{CHUNKS}, tk AS (SELECT chunk_id, doc_id, len(words) AS len, unnest({_CLEAN}) AS tok FROM chunks), idx AS (SELECT tok, chunk_id, count(*) AS tf FROM tk GROUP BY ALL)"
-# queries: the first six different words of every fourth benchmark item
-_Q = r"""qw AS (SELECT item_id AS qid, x AS tok, i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark WHERE item_id % 4 = 0), unnest(w) WITH ORDINALITY AS u(x, i)),
-q AS (SELECT qid, tok FROM (SELECT qid, tok, min(i) AS i FROM qw GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY i) <= 6)"""
+# queries: all different words of the benchmark items whose id is divisible by 20, against all chunks
+_Q = r"""qw AS (SELECT item_id AS qid, x AS tok, i FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark WHERE item_id % 20 = 0), unnest(w) WITH ORDINALITY AS u(x, i)),
+q AS (SELECT DISTINCT qid, tok FROM qw)"""
 _LEX = "lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, round(sum(tf / (tf + 1.0)), 6) AS score FROM idx JOIN q USING (tok) GROUP BY ALL)) WHERE rank <= 100)"
 _TIT = r"""th AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(array_to_string(words[1:8], ' ')), '[\p{L}\p{N}_]+')) AS t FROM chunks WHERE ordinal = 0),
 tit AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY n DESC, doc_id) AS rank FROM (SELECT qid, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(t) AS tok FROM th) JOIN q USING (tok) GROUP BY ALL)) WHERE rank <= 20)"""
@@ -23,8 +23,8 @@ _VEC = """vec AS (SELECT * FROM (SELECT qid, v AS doc_id, row_number() OVER (PAR
 
 
 def query_terms(spark, sf):
-    w = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), 1, 6)
-    return table(spark, sf, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("qid"), F.explode(w).alias("tok"))
+    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    return table(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("qid"), F.explode(w).alias("tok"))
 
 
 def title_list(ch, terms, limit=R.TITLE):
@@ -138,11 +138,11 @@ def chunk_windows(spark, sf):
     return chunks(spark, sf).select("chunk_id", "doc_id", "ordinal", F.size("words").alias("n"), F.md5(F.array_join("words", " ").cast("binary")).alias("digest"))
 
 
-@operator(f"WITH {CHUNKS}, p AS (SELECT doc_id, ordinal FROM chunks WHERE doc_id % 50 = 0 AND ordinal = 1) SELECT c.chunk_id, c.doc_id, p.ordinal AS around FROM chunks c JOIN p ON c.doc_id = p.doc_id AND c.ordinal BETWEEN p.ordinal - 1 AND p.ordinal + 1")
+@operator(f"WITH {CHUNKS}, p AS (SELECT doc_id, ordinal FROM chunks WHERE ordinal = 1) SELECT c.chunk_id, c.doc_id, p.ordinal AS around FROM chunks c JOIN p ON c.doc_id = p.doc_id AND c.ordinal BETWEEN p.ordinal - 1 AND p.ordinal + 1")
 def drilldown_neighbours(spark, sf):
     """A chunk with its neighbours."""
     c = chunks(spark, sf)
-    p = c.where("doc_id % 50 = 0 AND ordinal = 1").select("doc_id", F.explode(F.array(*(F.col("ordinal") + k for k in (-1, 0, 1)))).alias("ordinal"), F.col("ordinal").alias("around"))
+    p = c.where("ordinal = 1").select("doc_id", F.explode(F.array(*(F.col("ordinal") + k for k in (-1, 0, 1)))).alias("ordinal"), F.col("ordinal").alias("around"))
     return c.join(p, ["doc_id", "ordinal"]).select("chunk_id", "doc_id", "around")
 
 
@@ -155,16 +155,16 @@ def trigrams(c):
 _TRI = "list_distinct(list_transform(range(1, length(x) + 2), lambda i: substr('  ' || x || ' ', i, 3)))"
 
 
-@operator(rf"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS x FROM documents WHERE doc_id % 10 = 0), v AS (SELECT DISTINCT x FROM w WHERE length(x) >= 8),
-q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS x FROM benchmark WHERE item_id % 8 = 0), qq AS (SELECT x AS term FROM q WHERE length(x) >= 8),
+@operator(rf"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS x FROM documents), v AS (SELECT DISTINCT x FROM w WHERE length(x) >= 8),
+q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS x FROM benchmark), qq AS (SELECT x AS term FROM q WHERE length(x) >= 8),
 a AS (SELECT x, unnest({_TRI}) AS g FROM v), b AS (SELECT term, unnest({_TRI.replace("x)", "term)").replace("|| x ||", "|| term ||").replace("length(x", "length(term")}) AS g FROM qq),
 s AS (SELECT term, x, count(*) AS k FROM a JOIN b USING (g) GROUP BY ALL), na AS (SELECT x, count(*) AS n FROM a GROUP BY x), nb AS (SELECT term, count(*) AS m FROM b GROUP BY term)
 SELECT term, x AS word, round(k / m, 4) AS sim FROM s JOIN na USING (x) JOIN nb USING (term) WHERE k / m >= 0.6""")
 def word_similarity_match(spark, sf):
     """C3, D1, H1.8: terms against words by the share of the term's trigrams, found by an equi-join on trigrams."""
     tok = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    v = table(spark, sf, "documents").where("doc_id % 10 = 0").select(tok("text").alias("word")).distinct().where("length(word) >= 8")
-    q = table(spark, sf, "benchmark").where("item_id % 8 = 0").select(tok("text").alias("term")).distinct().where("length(term) >= 8")
+    v = table(spark, sf, "documents").select(tok("text").alias("word")).distinct().where("length(word) >= 8")
+    q = table(spark, sf, "benchmark").select(tok("text").alias("term")).distinct().where("length(term) >= 8")
     a = v.select("word", F.explode(trigrams(F.col("word"))).alias("g"))
     b = q.withColumn("t", trigrams(F.col("term"))).select("term", F.size("t").alias("m"), F.explode("t").alias("g"))
     s = a.join(b, "g").groupBy("term", "word", "m").agg(F.count("*").alias("k")).where("k / m >= 0.6")

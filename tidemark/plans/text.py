@@ -14,8 +14,8 @@ _STATE = r"list_filter(list_transform(regexp_split_to_array({}, '\n|[.!?] '), la
 
 @operator()
 def normalize_fold(spark, sf):
-    """H1.1, H1.2: folded titles, and whether folding again changes nothing."""
-    d = table(spark, sf, "documents").select("doc_id", X.normalise(F.substring("text", 1, 200)).alias("folded"))
+    """H1.1, H1.2: folded texts, and whether folding again changes nothing."""
+    d = table(spark, sf, "documents").select("doc_id", X.normalise(F.col("text")).alias("folded"))
     return d.select("doc_id", "folded", (X.normalise("folded") == F.col("folded")).alias("stable"))
 
 
@@ -69,14 +69,14 @@ def html_title(spark, sf):
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
 
-@operator(rf"""WITH b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id % 4 = 0),
+@operator(rf"""WITH b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
 s AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS g FROM b, unnest(range(1, len(w) - 6)) AS u(i)), t AS (SELECT DISTINCT array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) AS u(i))
 SELECT item_id, round(avg(CASE WHEN t.g IS NULL THEN 0.0 ELSE 1.0 END), 6) AS share, CAST(count(*) AS BIGINT) AS n FROM s LEFT JOIN t USING (g) GROUP BY item_id""")
 def containment_share(spark, sf):
     """C23, H1.18: the share of eight-word runs that originals hold."""
     w = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     s = table(spark, sf, "benchmark").select("item_id", w("text").alias("w")).select("item_id", F.explode(X.shingles(F.col("w"), 8)).alias("g"))
-    t = table(spark, sf, "documents").where("doc_id % 4 = 0").select(w("text").alias("w")).select(F.explode(X.shingles(F.col("w"), 8)).alias("g")).distinct().withColumn("have", F.lit(1.0))
+    t = table(spark, sf, "documents").select(w("text").alias("w")).select(F.explode(X.shingles(F.col("w"), 8)).alias("g")).distinct().withColumn("have", F.lit(1.0))
     return s.join(t, "g", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("have", F.lit(0.0))), 6).alias("share"), F.count("*").alias("n"))
 
 
@@ -95,14 +95,14 @@ def manifest_diff(spark, sf):
     return o.join(n, "key", "full_outer").select("key", action.alias("action"))
 
 
-@operator(rf"""WITH a AS (SELECT item_id AS old_id, {_WORDS.format('text')} AS w FROM benchmark WHERE item_id % 2 = 0), b AS (SELECT doc_id AS new_id, {_WORDS.format('text')} AS w FROM documents),
+@operator(rf"""WITH a AS (SELECT item_id AS old_id, {_WORDS.format('text')} AS w FROM benchmark), b AS (SELECT doc_id AS new_id, {_WORDS.format('text')} AS w FROM documents),
 s AS (SELECT DISTINCT old_id, array_to_string(w[i:i + 2], ' ') AS g FROM a, unnest(range(1, len(w) - 1)) AS u(i)), t AS (SELECT DISTINCT new_id, array_to_string(w[i:i + 2], ' ') AS g FROM b, unnest(range(1, len(w) - 1)) AS u(i)),
 k AS (SELECT old_id, new_id, count(*) AS k FROM s JOIN t USING (g) GROUP BY ALL), ns AS (SELECT old_id, count(*) AS n FROM s GROUP BY old_id), c AS (SELECT old_id, new_id FROM k JOIN ns USING (old_id) WHERE k >= 0.6 * n)
 SELECT old_id, new_id FROM (SELECT *, count(*) OVER (PARTITION BY old_id) AS x, count(*) OVER (PARTITION BY new_id) AS y FROM c) WHERE x = 1 AND y = 1""")
 def remap_unique(spark, sf):
     """Old and new items whose three-word runs agree, where each has the other only."""
     w = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    s = table(spark, sf, "benchmark").where("item_id % 2 = 0").select(F.col("item_id").alias("old_id"), w("text").alias("w")).select("old_id", X.shingles(F.col("w"), 3).alias("g"))
+    s = table(spark, sf, "benchmark").select(F.col("item_id").alias("old_id"), w("text").alias("w")).select("old_id", X.shingles(F.col("w"), 3).alias("g"))
     s = s.select("old_id", F.size("g").alias("n"), F.explode("g").alias("g"))
     t = table(spark, sf, "documents").select(F.col("doc_id").alias("new_id"), w("text").alias("w")).select("new_id", F.explode(X.shingles(F.col("w"), 3)).alias("g"))
     c = s.join(t, "g").groupBy("old_id", "new_id", "n").agg(F.count("*").alias("k")).where("k >= 0.6 * n")
@@ -110,10 +110,10 @@ def remap_unique(spark, sf):
     return c.withColumns({"x": one("old_id"), "y": one("new_id")}).where("x AND y").select("old_id", "new_id")
 
 
-@operator("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS canonical, date_trunc('hour', ts) AS hour, [1, 2, 4, 8, 16][least(CAST(event_id % 8 AS BIGINT) + 1, 5)] AS backoff, 'v' || user_id || '.' || (event_id % 3) AS clue, sha256(event_type || ':' || event_id) AS digest, CAST(CAST(round(value, 2) AS DECIMAL(14, 8)) AS VARCHAR) AS money FROM events WHERE event_id % 3 = 0")
+@operator("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS canonical, date_trunc('hour', ts) AS hour, [1, 2, 4, 8, 16][least(CAST(event_id % 8 AS BIGINT) + 1, 5)] AS backoff, 'v' || user_id || '.' || (event_id % 3) AS clue, sha256(event_type || ':' || event_id) AS digest, CAST(CAST(round(value, 2) AS DECIMAL(14, 8)) AS VARCHAR) AS money FROM events")
 def date_math_ids(spark, sf):
     """H3.1, H3.6, H3.8, H3.9, H3.13, H3.14: instants, windows, backoff, clues, digests, money."""
-    e = table(spark, sf, "events").where("event_id % 3 = 0")
+    e = table(spark, sf, "events")
     back = F.element_at(F.array(*(F.lit(x) for x in (1, 2, 4, 8, 16))), F.least(F.col("event_id") % 8 + 1, F.lit(5)).cast("int"))
     return e.select(
         "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("canonical"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), back.alias("backoff"), F.concat(F.lit("v"), F.col("user_id").cast("string"), F.lit("."), (F.col("event_id") % 3).cast("string")).alias("clue"),

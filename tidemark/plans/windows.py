@@ -18,11 +18,11 @@ def distinct_on_latest(spark, sf):
     return top_k(table(spark, sf, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 1).select("user_id", "event_id", "event_type")
 
 
-@operator("SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, count(*) OVER () AS total, lag(o_orderkey) OVER w AS before_key, lead(o_orderkey) OVER w AS after_key FROM orders WHERE o_custkey % 25 = 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+@operator("SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, count(*) OVER () AS total, lag(o_orderkey) OVER w AS before_key, lead(o_orderkey) OVER w AS after_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def window_ranks(spark, sf):
     """Positions in lists, a total beside the rows, neighbours."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf, "orders").where("o_custkey % 25 = 0")
+    o = table(spark, sf, "orders")
     n = o.agg(F.count("*").alias("total"))
     r = lambda f, c: f().over(w).cast("long").alias(c)
     return o.crossJoin(F.broadcast(n)).select("o_custkey", "o_orderkey", r(F.row_number, "rn"), r(F.rank, "rk"), r(F.dense_rank, "dr"), "total", F.lag("o_orderkey").over(w).alias("before_key"), F.lead("o_orderkey").over(w).alias("after_key"))
@@ -35,12 +35,12 @@ def item_votes(spark, sf):
     return e.groupBy("user_id", "event_type").agg(F.min("rk").alias("r")).groupBy("user_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 8).alias("score"))
 
 
-@operator("""WITH p AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS pos FROM events WHERE user_id % 10 = 0),
+@operator("""WITH p AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS pos FROM events),
 a AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY pos) AS k, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS j FROM p)
 SELECT x.user_id, x.pos, y.event_id FROM a x JOIN a y ON x.user_id = y.user_id AND x.event_type = y.event_type AND x.k = y.j""")
 def ties_newer_first(spark, sf):
     """Inside a run of equals the newer come first, and the run keeps its places."""
-    p = table(spark, sf, "events").where("user_id % 10 = 0").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_type", "event_id")).cast("long"))
+    p = table(spark, sf, "events").withColumn("pos", F.row_number().over(Window.partitionBy("user_id").orderBy("event_type", "event_id")).cast("long"))
     run = Window.partitionBy("user_id", "event_type")
     a = p.withColumns({"k": F.row_number().over(run.orderBy("pos")), "j": F.row_number().over(run.orderBy(F.col("ts").desc(), "event_id"))})
     y = a.select("user_id", "event_type", F.col("j").alias("k"), F.col("event_id").alias("e"))
@@ -70,12 +70,12 @@ def turn_groups(spark, sf):
     return c.select("conv_id", "turn", grp.alias("grp"), ((F.col("role") == "assistant") & (F.coalesce(F.lead("role").over(w), F.lit("user")) == "user")).alias("final"))
 
 
-@operator(r"WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)) SELECT doc_id, i - 1 AS line_no FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l) WHERE regexp_matches(line, '(?i)licen') AND regexp_matches(nxt, '[.]$')")
+@operator(r"WITH l AS (SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)) SELECT doc_id, i - 1 AS line_no FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM l) WHERE regexp_matches(line, '[.]$') AND regexp_matches(nxt, '^[A-D]')")
 def adjacent_pair(spark, sf):
     """A test on two adjacent lines."""
     l = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    return l.withColumn("nxt", F.lead("line").over(w)).where(F.col("line").rlike("(?i)licen") & F.col("nxt").rlike("[.]$")).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+    return l.withColumn("nxt", F.lead("line").over(w)).where(F.col("line").rlike("[.]$") & F.col("nxt").rlike("^[A-D]")).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
 @operator("SELECT source, doc_id, CAST(rn AS BIGINT) AS rn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS rn FROM documents) WHERE rn <= 10")
@@ -84,11 +84,11 @@ def newest_k(spark, sf):
     return top_k(table(spark, sf, "documents"), ["source"], [F.col("doc_id").desc()], 10).select("source", "doc_id", F.col("rank").cast("long").alias("rn"))
 
 
-@operator("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey) ORDER BY l_orderkey, l_linenumber) = 1 AS clean FROM lineitem WHERE l_orderkey % 5 = 0")
+@operator("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey) ORDER BY l_orderkey, l_linenumber) = 1 AS clean FROM lineitem")
 def first_clean_wins(spark, sf):
     """Later rows of a pair are errors."""
     w = Window.partitionBy(F.least("l_partkey", "l_suppkey"), F.greatest("l_partkey", "l_suppkey")).orderBy("l_orderkey", "l_linenumber")
-    return table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", (F.row_number().over(w) == 1).alias("clean"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.row_number().over(w) == 1).alias("clean"))
 
 
 @operator("SELECT lang, doc_id, CAST(ntile(7) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS slice FROM documents")
@@ -97,12 +97,13 @@ def ntile_slices(spark, sf):
     return table(spark, sf, "documents").select("lang", "doc_id", F.ntile(7).over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("slice"))
 
 
-@operator("WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) SELECT source, doc_id, CAST((SELECT sum(((i >> b) & 1) << (15 - b)) FROM unnest(range(0, 16)) AS u(b)) AS BIGINT) AS spread FROM p")
+@operator("WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, length(bin(count(*) OVER (PARTITION BY source))) AS width FROM documents) SELECT source, doc_id, CAST((SELECT sum(((i >> b) & 1) << (width - 1 - b)) FROM unnest(range(0, width)) AS u(b)) AS BIGINT) AS spread FROM p")
 def spread_order(spark, sf):
-    """Bit-reversed positions; any prefix of their order covers the list."""
+    """Bit-reversed positions, as wide as the source's count needs; any prefix of their order covers the list."""
     i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    d = table(spark, sf, "documents").withColumn("i", i)
-    return d.select("source", "doc_id", F.conv(F.reverse(F.lpad(F.bin("i"), 16, "0")), 2, 10).cast("long").alias("spread"))
+    n = F.count("*").over(Window.partitionBy("source"))
+    d = table(spark, sf, "documents").withColumns({"i": i, "width": F.length(F.bin(n))})
+    return d.select("source", "doc_id", F.conv(F.reverse(F.expr("lpad(bin(i), width, '0')")), 2, 10).cast("long").alias("spread"))
 
 
 @operator("WITH r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents) SELECT lang, doc_id, CAST(k AS BIGINT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rn, source, doc_id) AS k FROM r) WHERE k <= 30")

@@ -58,11 +58,11 @@ chunks AS (SELECT doc_id * 1000 + ordinal AS chunk_id, doc_id, CAST(ordinal AS I
 """
 
 
-def edges(spark: SparkSession, sf_dir: str, nodes: int = 400) -> DataFrame:
-    """Supersession links from newer to older items: a sparse graph over part keys."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supersession links from newer to older items, one for the first line of each order: the graph grows with the data."""
     li = table(spark, sf_dir, "lineitem")
-    a, b = F.col("l_partkey") % nodes, F.col("l_suppkey") * 7 % nodes
-    return li.where("l_linenumber = 1 AND l_orderkey % 40 = 0").select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).where("src <> dst").distinct()
+    a, b = F.col("l_partkey"), F.col("l_suppkey") * 7
+    return li.where("l_linenumber = 1").select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).where("src <> dst").distinct()
 
 
-EDGES = "edges AS (SELECT DISTINCT greatest(l_partkey % 400, l_suppkey * 7 % 400) AS src, least(l_partkey % 400, l_suppkey * 7 % 400) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 40 = 0 AND l_partkey % 400 <> l_suppkey * 7 % 400)"
+EDGES = "edges AS (SELECT DISTINCT greatest(l_partkey, l_suppkey * 7) AS src, least(l_partkey, l_suppkey * 7) AS dst FROM lineitem WHERE l_linenumber = 1 AND l_partkey <> l_suppkey * 7)"
