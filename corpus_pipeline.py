@@ -10,31 +10,31 @@ from tidemark.sources.tables import table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule table rejects go."""
+    """Documents that the rule table rejects go, null and empty texts with them. Null ids and repeated rows are judged by their text."""
     prepare(spark)
     return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; documents that lose all their lines go with them."""
+    """Lines that repeat an earlier line go; documents that lose all their lines go with them. Null and wordless texts stay; rows without an id come first; rows that share an id don't repeat each other."""
     prepare(spark)
     return lines.dedupe(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
+    """One document of each group of linked fingerprints stays, that of the smallest id; rows that repeat it stay once. Texts without words are one group. Rows without an id stay."""
     prepare(spark)
     return simhash.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Null texts and rows without an id stay; an empty benchmark takes nothing."""
     prepare(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, tokenised and packed: a row for each piece."""
+    """What is left, tokenised and packed: a row for each piece. Null texts are their end id. Every stage gives no rows for none, and keeps columns of any name."""
     prepare(spark)
     return packing.sequences(docs)
 
