@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.sizes import sized
+
 K_RRF = 60
 #: Most rows of a list.
 LEXICAL, TRIGRAM, VECTOR, TITLE = 100, 20, 100, 20
+#: Query vectors broadcast at once.
+BLOCK = 20_000
 
 
 def dot(a: str, b: str) -> Column:
@@ -32,16 +36,19 @@ def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int) -> Data
 def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 4) -> DataFrame:
     """(q, v, sim, rank): the k vectors nearest to each query (q, qv), itself left out. ``vectors`` has vec_id and embedding.
 
-    A stated query set is held against all vectors. Partial lists are cut to k by part of the vectors, then merged, so no task holds a query's whole list.
+    A stated query set is held against all vectors, in blocks of about BLOCK queries that are broadcast one after the other. Partial lists are cut to k
+    by part of the vectors, then merged, so no task holds a query's whole list.
     """
-    pairs = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("q")) if _few(queries) else vectors.crossJoin(queries).where("vec_id <> q")
-    s = pairs.select("q", F.col("vec_id").alias("v"), F.round(dot("qv", "embedding"), digits).alias("sim"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
-    best = top_k(s, ["q", "part"], [F.col("sim").desc(), F.col("v")], k).drop("rank", "part")
-    return top_k(best, ["q"], [F.col("sim").desc(), F.col("v")], k)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    block = lambda b: queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else queries
+    return reduce(DataFrame.unionAll, (_cosine_block(block(b), vectors, k, digits) for b in range(blocks)))
 
 
-def _few(queries: DataFrame, most: int = 20_000) -> bool:
-    return queries.limit(most + 1).count() <= most
+def _cosine_block(queries: DataFrame, vectors: DataFrame, k: int, digits: int) -> DataFrame:
+    s = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("q"))
+    s = s.select("q", F.col("vec_id").alias("v"), F.round(dot("qv", "embedding"), digits).alias("sim"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"))
+    best = top_k(s, ["q", "part"], [F.col("sim").desc(), F.col("v")], k).drop("rank", "part")
+    return top_k(best, ["q"], [F.col("sim").desc(), F.col("v")], k)
 
 
 def rrf(*lists: tuple[DataFrame, float], key: list[str], by: list[str]) -> DataFrame:
@@ -56,15 +63,20 @@ def pack_prefix(rows: DataFrame, by: list[str], order: list[Column], cost: str,
     return rows.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
 
 
-def inverted(chunks: DataFrame) -> DataFrame:
-    """(tok, doc_id, chunk_id, tf, len) of chunks (doc_id, chunk_id, words). Chunks of two documents may have one chunk_id."""
+def inverted(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(tok, doc_id, chunk_id, tf, len) of chunks (doc_id, chunk_id, words). Chunks of two documents may have one chunk_id.
+
+    With ``terms`` only their tokens (tok) are counted: others are dropped before anything is shuffled.
+    """
     clean = F.filter(F.transform("words", lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_]", "")), lambda x: x != "")
-    return chunks.select("doc_id", "chunk_id", F.size("words").alias("len"), F.explode(clean).alias("tok")).groupBy("tok", "doc_id", "chunk_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+    t = chunks.select("doc_id", "chunk_id", F.size("words").alias("len"), F.explode(clean).alias("tok"))
+    t = t.join(sized(terms.select("tok").distinct()), "tok", "left_semi") if terms is not None else t
+    return t.groupBy("tok", "doc_id", "chunk_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
 def lexical(index: DataFrame, terms: DataFrame, limit: int = LEXICAL) -> DataFrame:
     """(qid, doc_id, chunk_id, score, rank): chunks by Σ tf / (tf + 1) over the query's terms (qid, tok). A declared stand-in for cover density."""
-    s = index.join(F.broadcast(terms), "tok").groupBy("qid", "doc_id", "chunk_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.0)), 6).alias("score"))
+    s = index.join(sized(terms), "tok").groupBy("qid", "doc_id", "chunk_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.0)), 6).alias("score"))
     return top_k(s, ["qid"], [F.col("score").desc(), F.col("chunk_id"), F.col("doc_id")], limit)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import retrieval as R
+from tidemark.operators.sizes import sized
 from tidemark.plans.aggregates import doc_terms
 from tidemark.plans.registry import operator
 from tidemark.sources.model import CHUNKS, chunks
@@ -30,17 +31,17 @@ def query_terms(spark, sf):
 def title_list(ch, terms, limit=R.TITLE):
     """(qid, doc_id, rank) by how many of the query's terms the first eight words hold."""
     t = F.array_distinct(F.regexp_extract_all(F.lower(F.array_join(F.slice("words", 1, 8), " ")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    s = ch.where("ordinal = 0").select("doc_id", F.explode(t).alias("tok")).join(F.broadcast(terms), "tok").groupBy("qid", "doc_id").agg(F.count("*").alias("n"))
+    s = ch.where("ordinal = 0").select("doc_id", F.explode(t).alias("tok")).join(sized(terms), "tok").groupBy("qid", "doc_id").agg(F.count("*").alias("n"))
     return R.top_k(s, ["qid"], [F.col("n").desc(), F.col("doc_id")], limit)
 
 
 def fused(spark, sf):
     """(qid, chunk_id, doc_id, score): lexical chunks, title and vector hits credited to the first chunk of their document."""
     ch, terms = chunks(spark, sf), query_terms(spark, sf)
-    lex = R.lexical(R.inverted(ch), terms).select("qid", "doc_id", "chunk_id", "rank")
+    lex = R.lexical(R.inverted(ch, terms), terms).select("qid", "doc_id", "chunk_id", "rank")
     tit = title_list(ch, terms).select("qid", "doc_id", (F.col("doc_id") * 1000).alias("chunk_id"), "rank")
     e = table(spark, sf, "embeddings")
-    q = e.join(F.broadcast(terms.select(F.col("qid").alias("vec_id")).distinct()), "vec_id").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    q = e.join(sized(terms.select(F.col("qid").alias("vec_id")).distinct()), "vec_id").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     vec = R.cosine_top(q, e, R.VECTOR).select(F.col("q").alias("qid"), F.col("v").alias("doc_id"), (F.col("v") * 1000).alias("chunk_id"), "rank")
     f = R.rrf((lex, 1.0), (tit, 1.0), (vec, 1.0), key=["doc_id", "chunk_id"], by=["qid"])
     return f.select("qid", "chunk_id", "doc_id", F.round("score", 8).alias("score"), "n_lists")
@@ -54,7 +55,7 @@ fused AS (SELECT qid, chunk_id, chunk_id // 1000 AS doc_id, round(sum(1.0 / (60
 @operator(f"WITH {_IDX}, {_Q}, {_LEX} SELECT qid, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lex")
 def lexical_top(spark, sf):
     """H1.6, H1.7, F1: the hundred best chunks of each query by term saturation, a declared stand-in for cover density."""
-    return R.lexical(R.inverted(chunks(spark, sf)), query_terms(spark, sf)).select("qid", "chunk_id", "score", "rank")
+    return R.lexical(R.inverted(chunks(spark, sf), query_terms(spark, sf)), query_terms(spark, sf)).select("qid", "chunk_id", "score", "rank")
 
 
 @operator(f"WITH {_Q}, {CHUNKS}, {_TIT} SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank FROM tit")
