@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
+from tidemark.operators.sizes import sized
 from tidemark.plans.registry import operator
 from tidemark.plans.retrieval import query_terms
-from tidemark.session import checkpoint_dir, prepare
+from tidemark.session import checkpoint_dir, cut, prepare
 from tidemark.sources import files
 from tidemark.sources.tables import table
 
@@ -86,11 +87,12 @@ def query_preview(spark, sf):
     # documents meet a query over the terms they share
     found = d.select("doc_id", F.explode(F.array_distinct(F.transform("w", F.lower))).alias("tok")).join(q, "tok").groupBy("qid", "doc_id").agg(F.count("*").alias("k"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("k").desc(), "doc_id"))).where("r <= 5")
-    m = d.join(best, "doc_id").join(q.groupBy("qid").agg(F.collect_list("tok").alias("terms")), "qid")
-    low = F.transform("w", F.lower)
+    best = cut(best.select("qid", "doc_id"))  # five rows a query
+    m = d.join(sized(best, 32), "doc_id").join(q.groupBy("qid").agg(F.collect_list("tok").alias("terms")), "qid")
+    m = cut(m.select("qid", "doc_id", "w", "terms", F.transform("w", F.lower).alias("low")))  # else made anew for each window below
     # windows begin at hits; the earliest of those with most terms
-    starts = F.filter(F.transform(low, lambda x, i: F.when(F.array_contains("terms", x), i + 1)), lambda i: i.isNotNull())
-    m = m.select("qid", "doc_id", "w", "terms", low.alias("low"), starts.alias("starts"))
+    starts = F.filter(F.transform("low", lambda x, i: F.when(F.array_contains("terms", x), i + 1)), lambda i: i.isNotNull())
+    m = m.select("qid", "doc_id", "w", "terms", "low", starts.alias("starts"))
     scored = F.transform("starts", lambda i: F.struct(F.size(F.array_intersect(F.slice("low", i, F.lit(PREVIEW)), F.col("terms"))).alias("n"), (-i).alias("i")))
     m = m.select("qid", "doc_id", "w", F.array_max(scored).alias("x")).select("qid", "doc_id", "w", F.col("x.n").cast("long").alias("n"), (-F.col("x.i")).alias("i"))
     shown = F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("i") - LEAD), F.lit(PREVIEW)), " ")

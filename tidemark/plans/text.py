@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
+from tidemark.operators.sizes import sized
 from tidemark.plans.registry import operator
 from tidemark.sources.tables import table
 
@@ -76,7 +77,8 @@ def containment_share(spark, sf):
     """C23, H1.18: the share of eight-word runs that originals hold."""
     w = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     s = table(spark, sf, "benchmark").select("item_id", w("text").alias("w")).select("item_id", F.explode(X.shingles(F.col("w"), 8)).alias("g"))
-    t = table(spark, sf, "documents").select(w("text").alias("w")).select(F.explode(X.shingles(F.col("w"), 8)).alias("g")).distinct().withColumn("have", F.lit(1.0))
+    t = table(spark, sf, "documents").select(w("text").alias("w")).select(F.explode(X.shingles(F.col("w"), 8)).alias("g"))
+    t = t.join(sized(s.select("g").distinct(), 128), "g", "left_semi").distinct().withColumn("have", F.lit(1.0))  # only the items' runs are shuffled
     return s.join(t, "g", "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("have", F.lit(0.0))), 6).alias("share"), F.count("*").alias("n"))
 
 
