@@ -63,3 +63,26 @@ def test_masks(spark):
     d = spark.createDataFrame([("mail me at a.b@c.org from 10.0.0.1, password: hunter2",)], "t string")
     r = d.select(X.mask(F.col("t")).alias("m"), X.findings(F.col("t")).alias("f")).first()
     assert r.m == "mail me at [email] from [ipv4], [assignment]" and r.f == ["assignment", "email", "ipv4"]
+
+
+def test_cycle_edges_and_levels_against_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    n, m = 12, 18
+    e = {(r.randrange(n), r.randrange(n)) for _ in range(m)}
+    paths = set(e)
+    for k in range(n):
+        paths |= {(a, b) for a in range(n) for b in range(n) if (a, k) in paths and (k, b) in paths}
+    d = spark.createDataFrame([*e, *list(e)[:3], (None, 1), (2, None)], "src long, dst long")
+    got = [(x.src, x.dst) for x in G.cycle_edges(d).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in e if (b, a) in paths or a == b}
+    behind = {b for a, b in paths if (a, a) in paths}
+    longest = {v: 0 for x in e for v in x}
+    for _ in range(n):
+        for a, b in e:
+            if b not in behind:
+                longest[b] = max(longest[b], longest[a] + 1)
+    assert {x.item: x.round for x in G.levels(d).collect()} == {v: None if v in behind else k for v, k in longest.items()}
+    none = spark.createDataFrame([], "src long, dst long")
+    assert G.cycle_edges(none).count() == 0 and G.levels(none).count() == 0

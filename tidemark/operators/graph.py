@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import cut, stored
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, most: int | None = 100) -> DataFrame:
     """(node, depth): every node reachable from ``seeds`` (node) over ``edges`` (src, dst), with its least depth. Ends also on cycles."""
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         nxt = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct()
         front = cut(nxt.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -21,25 +23,68 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
     raise RuntimeError(f"not ended after {most} steps")
 
 
-def closure(edges: DataFrame, most: int = 30) -> DataFrame:
-    """(src, dst): all pairs with a path, by doubling path lengths. For small graphs, as a project's links are."""
-    paths = cut(edges.select("src", "dst").distinct())
-    n = paths.count()
-    for _ in range(most):
-        a, b = paths.alias("a"), paths.alias("b")
-        longer = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = cut(paths.unionAll(longer).distinct())
-        m = paths.count()
+def trim(edges: DataFrame) -> DataFrame:
+    """The edges left when nodes without an edge in or without one out are taken away until there are none: no edge on a cycle is lost."""
+    live = stored(edges)
+    n = live.count()
+    while n:
+        starts, ends = live.select(F.col("src").alias("dst")).distinct(), live.select(F.col("dst").alias("src")).distinct()
+        live = stored(live.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"))
+        m = live.count()
         if m == n:
-            return paths
+            break
         n = m
-    raise RuntimeError(f"not ended after {most} doublings")
+    return live
+
+
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label): the largest label that reaches each node; only nodes whose label has just grown send it on."""
+    grown = labels
+    while not grown.isEmpty():
+        sent = grown.join(edges, grown.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("sent"))
+        labels = cut(labels.select("node", "label").join(sent, "node", "left").select("node", F.greatest("label", "sent").alias("label"), (F.col("sent") > F.col("label")).alias("grew")))
+        grown = labels.where("grew").select("node", "label")
+    return labels.select("node", "label")
 
 
 def cycle_edges(edges: DataFrame) -> DataFrame:
-    """Edges that lie on a cycle: the end reaches the start."""
-    back = closure(edges).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return edges.join(back, ["src", "dst"], "left_semi")
+    """Edges (src, dst) that lie on a cycle, by colouring in rounds of joins: memory follows the edges, never the pairs with a path.
+
+    Each node takes the largest node that reaches it for its colour. Within a colour, what reaches the node of that name is its component; the edges of
+    components are given back, and the rest goes on without them and without edges between colours. A null end lies on no cycle; repeated edges come back once.
+    """
+    edges = stored(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    found, live = edges.where("src = dst"), trim(edges.where("src <> dst"))
+    while not live.isEmpty():
+        nodes = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
+        colour = _spread(nodes.withColumn("label", F.col("node")), live)
+        ends = live.join(colour.select(F.col("node").alias("src"), F.col("label").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("d")), "dst")
+        inner = stored(ends.where("c = d").select("src", "dst"))
+        own = colour.where("node = label").select("node")
+        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        member = reach(back, own, None).select("node")
+        is_src, is_dst = member.withColumnRenamed("node", "src"), member.withColumnRenamed("node", "dst")
+        found = stored(found.unionAll(inner.join(is_src, "src", "left_semi").join(is_dst, "dst", "left_semi").select("src", "dst")))
+        live = trim(inner.join(is_src, "src", "left_anti").join(is_dst, "dst", "left_anti").select("src", "dst"))
+    return found
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(item, round): Kahn's order by rounds over distinct edges (src, dst): a round holds the items all of whose predecessors stand in earlier ones.
+
+    Items on a cycle or behind one have no round and come last. A round is a join of its items with the edges, so a level of any size is ordered without
+    a queue in one task.
+    """
+    edges = stored(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    need = edges.select(F.col("src").alias("item"), F.lit(0).alias("n")).unionAll(edges.select("dst", F.lit(1))).groupBy("item").agg(F.sum("n").alias("need"))
+    state = stored(need.withColumn("round", F.when(F.col("need") == 0, 0)))
+    for k in count():
+        placed = state.where(F.col("round") == k)
+        if placed.isEmpty():
+            return state.select("item", "round")
+        met = placed.join(edges, placed.item == edges.src).groupBy(F.col("dst").alias("item")).agg(F.count("*").alias("met"))
+        left = F.col("need") - F.coalesce("met", F.lit(0))
+        state = stored(state.join(met, "item", "left").select("item", left.alias("need"), F.coalesce("round", F.when(left == 0, k + 1)).alias("round")))
 
 
 def chains(parents: DataFrame, most: int = 64) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,11 +43,11 @@ def reachability(spark, sf):
 
 
 def _ring(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_linenumber = 2 AND l_orderkey % 120 = 0")
-    return li.select((F.col("l_partkey") % 60).alias("src"), (F.col("l_suppkey") * 7 % 60).alias("dst")).where("src <> dst").distinct()
+    li = table(spark, sf, "lineitem").where("l_linenumber = 2")
+    return li.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7).alias("dst")).where("src <> dst").distinct()
 
 
-_RING = "ring AS (SELECT DISTINCT l_partkey % 60 AS src, l_suppkey * 7 % 60 AS dst FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 120 = 0 AND l_partkey % 60 <> l_suppkey * 7 % 60)"
+_RING = "ring AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 7 AS dst FROM lineitem WHERE l_linenumber = 2 AND l_partkey <> l_suppkey * 7)"
 
 
 @operator(f"WITH RECURSIVE {_RING}, c AS (SELECT src, dst FROM ring UNION SELECT c.src, r.dst FROM c JOIN ring r ON c.dst = r.src) SELECT r.src, r.dst FROM ring r WHERE EXISTS (SELECT 1 FROM c WHERE c.src = r.dst AND c.dst = r.src)")
@@ -76,31 +75,7 @@ def provenance(spark, sf):
     return o.join(seen, "origin", "left_semi").select("node", "origin", "hops")
 
 
-@operator()
+@operator(f"WITH RECURSIVE {EDGES}, r AS (SELECT src AS item, 0 AS round FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION SELECT dst, round + 1 FROM r JOIN edges ON src = item) SELECT item, max(round) AS round FROM r GROUP BY item")
 def topological_order(spark, sf):
-    """Kahn's order inside each project, the smallest first; items on cycles come last by number. A project is fifty items next to each other, so a group is bounded and their number grows."""
-
-    def kahn(frame: pd.DataFrame) -> pd.DataFrame:
-        import heapq
-
-        nodes = sorted(set(frame["src"]) | set(frame["dst"]))
-        need = {n: 0 for n in nodes}
-        out: dict[int, list[int]] = {n: [] for n in nodes}
-        for s, d in zip(frame["src"], frame["dst"], strict=True):
-            need[d] += 1
-            out[s].append(d)
-        heap, order = [n for n in nodes if not need[n]], []
-        heapq.heapify(heap)
-        while heap:
-            n = heapq.heappop(heap)
-            order.append(n)
-            for m in out[n]:
-                need[m] -= 1
-                if not need[m]:
-                    heapq.heappush(heap, m)
-        done = set(order)
-        order += [n for n in nodes if n not in done]
-        return pd.DataFrame({"project": int(frame["project"].iloc[0]), "item": order, "place": range(len(order))})
-
-    e = edges(spark, sf).withColumn("project", (F.col("src") / 50).cast("long"))
-    return e.groupBy("project").applyInPandas(kahn, "project long, item long, place long")
+    """newer items before those they replace, by rounds; the order is that of (round, item), and no round is put through one task."""
+    return G.levels(edges(spark, sf))
