@@ -111,7 +111,7 @@ def stream_once(spark, sf):
     return jobs.run(jobs.once(jobs.source(spark, sf)).select("event_id", "user_id", "event_type"))
 
 
-@operator()
+@operator("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS spent FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 30 MINUTE FROM events) GROUP BY ALL")
 def stream_tumbling(spark, sf):
     """Closed hours of the stream; hours that the watermark hasn't passed aren't out yet."""
     return jobs.run(jobs.tumbling(jobs.source(spark, sf)))

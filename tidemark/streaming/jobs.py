@@ -54,7 +54,19 @@ def latest(stream: DataFrame, key: list[str], order: str, fold: Callable[[DataFr
 def tumbling(stream: DataFrame, size: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Spend and counts by hour and type; windows close once the watermark passes them, and later rows are left to the bi-temporal tables."""
     w = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", size), "event_type")
-    return w.agg(F.count("*").alias("n"), F.sum("value").alias("spent")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "spent")
+    return w.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("spent")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "spent")
+
+
+def sliding(stream: DataFrame, size: str = "30 minutes", step: str = "15 minutes", late: str = "30 minutes") -> DataFrame:
+    """Counts and spend by overlapping windows and type."""
+    w = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).groupBy(F.window("at", size, step), "event_type")
+    return w.agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("spent")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "spent")
+
+
+def sessions(stream: DataFrame, gap: str = "20 minutes", late: str = "30 minutes") -> DataFrame:
+    """A user's sessions, each ended by a gap without events: first and last instant, and the number of events."""
+    w = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).groupBy(F.session_window("at", gap), "user_id")
+    return w.agg(F.max("at").alias("last"), F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
 
 
 def once(stream: DataFrame, late: str = "1 hour") -> DataFrame:
