@@ -86,3 +86,25 @@ def test_cycle_edges_and_levels_against_brute_force(spark):
     assert {x.item: x.round for x in G.levels(d).collect()} == {v: None if v in behind else k for v, k in longest.items()}
     none = spark.createDataFrame([], "src long, dst long")
     assert G.cycle_edges(none).count() == 0 and G.levels(none).count() == 0
+
+
+def test_running_over_many_ranges_and_one_hot_group(spark, monkeypatch):
+    import random
+
+    from tidemark.operators import ranks
+
+    r = random.Random(3)
+    data = [(r.choice(["a", "a", "a", "b", None]), i, r.randrange(9)) for i in range(600)] + [("c", 1, None)]
+    d = spark.createDataFrame(data, "g string, i long, n int")
+    monkeypatch.setattr(ranks, "RANGE_ROWS", 40)
+    for most in (None, 300):
+        want = set()
+        for g in {x[0] for x in data}:
+            own, used = sorted((x for x in data if x[0] == g), key=lambda x: -x[1]), 0
+            for k, (_, i, n) in enumerate(own, 1):
+                used += n or 0
+                if most is None or used <= most:
+                    want.add((g, i, k, len(own), used))
+        got = [(x.g, x.i, x.row_no, x.total, x.used) for x in ranks.running(d, ["g"], [F.col("i").desc()], F.col("n"), most).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert ranks.running(d.limit(0), ["g"], [F.col("i")]).count() == 0

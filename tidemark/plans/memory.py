@@ -42,7 +42,8 @@ def question_lifecycle(spark, sf):
 def close_duplicates(spark, sf):
     """The newest of equal bodies stays."""
     d = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    return d.select("doc_id", "digest", (F.row_number().over(Window.partitionBy("digest").orderBy(F.col("doc_id").desc())) > 1).alias("closed"))
+    newest = d.groupBy("digest").agg(F.max("doc_id").alias("newest")).withColumnRenamed("digest", "g")
+    return d.join(newest, d["digest"].eqNullSafe(newest["g"])).select("doc_id", "digest", (F.col("doc_id") < F.col("newest")).alias("closed"))
 
 
 @operator("SELECT user_id, max(ts) AS last_access_at, CAST(count(*) AS BIGINT) AS touches FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id")

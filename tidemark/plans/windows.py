@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.retrieval import pack_prefix, top_k
+from tidemark.operators.ranks import running
+from tidemark.operators.retrieval import top_k
 from tidemark.plans.aggregates import doc_terms
 from tidemark.plans.registry import operator
 from tidemark.session import cut
@@ -31,8 +32,8 @@ def window_ranks(spark, sf):
 @operator("WITH b AS (SELECT user_id, event_type, min(rk) AS r FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rk FROM events) GROUP BY ALL) SELECT user_id, round(sum(1.0 / (60 + r)), 8) AS score FROM b GROUP BY user_id")
 def item_votes(spark, sf):
     """An item's best rank in each list votes once."""
-    e = table(spark, sf, "events").withColumn("rk", F.row_number().over(Window.partitionBy("event_type").orderBy(F.col("value").desc(), "event_id")))
-    return e.groupBy("user_id", "event_type").agg(F.min("rk").alias("r")).groupBy("user_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 8).alias("score"))
+    e = running(table(spark, sf, "events").select("user_id", "event_type", "event_id", "value"), ["event_type"], [F.col("value").desc(), F.col("event_id")])
+    return e.groupBy("user_id", "event_type").agg(F.min("row_no").alias("r")).groupBy("user_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 8).alias("score"))
 
 
 @operator("""WITH p AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_type, event_id) AS pos FROM events),
@@ -57,8 +58,9 @@ def running_df(spark, sf):
 
 @operator("SELECT source, doc_id, CAST(used AS BIGINT) AS used FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars % 10, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 20000")
 def budget_pack(spark, sf):
-    """Packing a prefix under a budget."""
-    return pack_prefix(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), ["source"], [F.col("n_chars") % 10, F.col("doc_id")], "n_chars", 20000).select("source", "doc_id", "used")
+    """Packing a prefix under a budget; a source's rows are sorted up to the range in which the budget ends."""
+    d = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    return running(d, ["source"], [F.col("n_chars") % 10, F.col("doc_id")], F.col("n_chars"), 20000).select("source", "doc_id", "used")
 
 
 @operator("WITH l AS (SELECT conv_id, turn, role, lead(role) OVER w AS next_role, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS grp FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, CAST(grp AS BIGINT) AS grp, role = 'assistant' AND coalesce(next_role, 'user') = 'user' AS final FROM l")
@@ -94,22 +96,27 @@ def first_clean_wins(spark, sf):
 @operator("SELECT lang, doc_id, CAST(ntile(7) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS slice FROM documents")
 def ntile_slices(spark, sf):
     """Near-equal contiguous slices."""
-    return table(spark, sf, "documents").select("lang", "doc_id", F.ntile(7).over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("slice"))
+    d = running(table(spark, sf, "documents").select("lang", "doc_id"), ["lang"], [F.col("doc_id")])
+    least, longer = F.floor(F.col("total") / 7), F.col("total") % 7
+    head = longer * (least + 1)  # rows in the slices that are one longer
+    tail = longer + F.ceil((F.col("row_no") - head) / F.greatest(least, F.lit(1)))
+    return d.select("lang", "doc_id", F.when(F.col("row_no") <= head, F.ceil(F.col("row_no") / (least + 1))).otherwise(tail).cast("long").alias("slice"))
 
 
 @operator("WITH p AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, length(bin(count(*) OVER (PARTITION BY source))) AS width FROM documents) SELECT source, doc_id, CAST((SELECT sum(((i >> b) & 1) << (width - 1 - b)) FROM unnest(range(0, width)) AS u(b)) AS BIGINT) AS spread FROM p")
 def spread_order(spark, sf):
     """Bit-reversed positions, as wide as the source's count needs; any prefix of their order covers the list."""
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    n = F.count("*").over(Window.partitionBy("source"))
-    d = table(spark, sf, "documents").withColumns({"i": i, "width": F.length(F.bin(n))})
+    d = running(table(spark, sf, "documents").select("source", "doc_id"), ["source"], [F.col("doc_id")])
+    d = d.withColumns({"i": F.col("row_no") - 1, "width": F.length(F.bin("total"))})
     return d.select("source", "doc_id", F.conv(F.reverse(F.expr("lpad(bin(i), width, '0')")), 2, 10).cast("long").alias("spread"))
 
 
 @operator("WITH r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM documents) SELECT lang, doc_id, CAST(k AS BIGINT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rn, source, doc_id) AS k FROM r) WHERE k <= 30")
 def stratified_sample(spark, sf):
     """A quota for each stratum, sub-groups in turn."""
-    r = table(spark, sf, "documents").withColumn("rn", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")))
+    # no sub-group gives more than the quota, and a limit by rank is applied before rows are shuffled
+    r = table(spark, sf, "documents").select("lang", "source", "doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    r = top_k(r, ["lang", "source"], [F.col("h"), F.col("doc_id")], 30).withColumnRenamed("rank", "rn")
     return top_k(r, ["lang"], [F.col("rn"), F.col("source"), F.col("doc_id")], 30).select("lang", "doc_id", F.col("rank").cast("long").alias("k"))
 
 
@@ -208,12 +215,12 @@ def set_operations(spark, sf):
     return of("view").subtract(of("purchase")).unionByName(of("signup").intersect(of("error")))
 
 
-@operator("SELECT md5(coalesce(text, '')) AS digest, min(doc_id) AS kept, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY 1 HAVING count(*) > 1")
+@operator("WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents) SELECT digest, doc_id, min(doc_id) OVER (PARTITION BY digest) AS kept, CAST(count(*) OVER (PARTITION BY digest) AS BIGINT) AS n FROM d QUALIFY count(*) OVER (PARTITION BY digest) > 1")
 def exact_dup_groups(spark, sf):
-    """Groups of equal bodies; the first is kept."""
+    """Members of groups of equal bodies, a row for each, since a group may be of any size; the first is kept."""
     d = table(spark, sf, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
-    g = d.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("l")).where("n > 1")
-    return g.select("digest", "kept", "n", F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("ids"))
+    g = d.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    return d.join(g, "digest").select("digest", "doc_id", "kept", "n")
 
 
 @operator(r"WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark), d AS (SELECT item_id, x, min(i) AS i FROM t, unnest(w) WITH ORDINALITY AS u(x, i) GROUP BY ALL) SELECT item_id, string_agg(x, ' ' ORDER BY i) AS terms FROM (SELECT * FROM d WHERE length(x) >= 2 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i) <= 24) GROUP BY item_id")
