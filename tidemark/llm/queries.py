@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fim, idfile, licences, lines, packing, quality, sharding, simhash, suffixes, toxicity, warc
+from tidemark.llm import decontaminate, fim, idfile, licences, lines, negatives, packing, quality, sharding, simhash, suffixes, toxicity, warc
 from tidemark.session import prepare
 from tidemark.sources.tables import table
 
@@ -58,5 +58,9 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.report(table(prepare(spark), sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_suffix_dedup, op4_licences, op5_line_dedup, op6_decontamination, op7_sharding, op8_id_files, op9_toxicity, op10_packing, op11_warc, op12_fill_in_middle)}
-SQL = {"op1_quality_rules": quality.BASE_SQL, "op4_licences": licences.SQL, "op5_line_dedup": lines.SQL, "op6_decontamination": decontaminate.SQL, "op11_warc": warc.SQL, "op12_fill_in_middle": fim.SQL}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(prepare(spark), sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_simhash, op3_suffix_dedup, op4_licences, op5_line_dedup, op6_decontamination, op7_sharding, op8_id_files, op9_toxicity, op10_packing, op11_warc, op12_fill_in_middle, op13_hard_negatives)}
+SQL = {"op1_quality_rules": quality.BASE_SQL, "op4_licences": licences.SQL, "op5_line_dedup": lines.SQL, "op6_decontamination": decontaminate.SQL, "op11_warc": warc.SQL, "op12_fill_in_middle": fim.SQL, "op13_hard_negatives": negatives.SQL}
