@@ -51,35 +51,12 @@ def _cosine_block(queries: DataFrame, vectors: DataFrame, k: int, digits: int) -
     return top_k(best, ["q"], [F.col("sim").desc(), F.col("v")], k)
 
 
-def rrf(*lists: tuple[DataFrame, float], key: list[str], by: list[str]) -> DataFrame:
-    """Rows in any list with Σ weight / (60 + rank): a union and one aggregation in place of a full outer join."""
-    parts = [d.select(*by, *key, (F.lit(w) / (K_RRF + F.col("rank"))).alias("part")) for d, w in lists]
-    return reduce(DataFrame.unionByName, parts).groupBy(*by, *key).agg(F.sum("part").alias("score"), F.count("*").alias("n_lists"))
-
-
 def pack_prefix(rows: DataFrame, by: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:
     """The longest prefix whose running cost stays within the budget: it stops at the first row that doesn't fit."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
 
 
-def inverted(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(tok, doc_id, chunk_id, tf, len) of chunks (doc_id, chunk_id, words). Chunks of two documents may have one chunk_id.
-
-    With ``terms`` only their tokens (tok) are counted: others are dropped before anything is shuffled.
-    """
-    clean = F.filter(F.transform("words", lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_]", "")), lambda x: x != "")
-    t = chunks.select("doc_id", "chunk_id", F.size("words").alias("len"), F.explode(clean).alias("tok"))
-    t = t.join(sized(terms.select("tok").distinct()), "tok", "left_semi") if terms is not None else t
-    return t.groupBy("tok", "doc_id", "chunk_id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
-
-
-def lexical(index: DataFrame, terms: DataFrame, limit: int = LEXICAL) -> DataFrame:
-    """(qid, doc_id, chunk_id, score, rank): chunks by Σ tf / (tf + 1) over the query's terms (qid, tok). A declared stand-in for cover density."""
-    s = index.join(sized(terms), "tok").groupBy("qid", "doc_id", "chunk_id").agg(F.round(F.sum(F.col("tf") / (F.col("tf") + 1.0)), 6).alias("score"))
-    return top_k(s, ["qid"], [F.col("score").desc(), F.col("chunk_id"), F.col("doc_id")], limit)
-
-
 def rare_terms(terms: DataFrame, df: DataFrame, n_docs: DataFrame, share: float = 0.2, least: int = 100, fallback: int = 2) -> DataFrame:
     """Terms (qid, tok) that at most ``share`` of the documents have; identifiers stay; if all are common the two rarest stay."""
     t = terms.join(df, "tok", "left").withColumn("df", F.coalesce("df", F.lit(0))).crossJoin(F.broadcast(n_docs))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 #: Bytes that may be broadcast.
 MOST = 32 << 20
 
@@ -13,3 +15,12 @@ def sized(side: DataFrame, width: int = 64) -> DataFrame:
     """``side``, rows of about ``width`` bytes, with a broadcast hint if it takes at most MOST; beyond that Spark shuffles both sides."""
     most = MOST // width
     return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
+def held(side: DataFrame, width: int = 64) -> DataFrame:
+    """``side`` computed once: as rows in the plan with a broadcast hint if it takes at most MOST, for rows of about ``width`` bytes, else as a stored table."""
+    most = MOST // width
+    rows = side.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
+        return F.broadcast(side.sparkSession.createDataFrame(rows, side.schema))
+    return stored(side)
