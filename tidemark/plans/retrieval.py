@@ -84,7 +84,7 @@ fused AS (SELECT qid, coalesce(chunk_id, doc_id * 1000) AS chunk_id, doc_id, rou
   FROM cf FULL JOIN (SELECT qid, doc_id, rank FROM tit) tit USING (qid, doc_id))"""
 
 
-_ALL = f"{_BASE}, every AS (SELECT doc_id FROM documents), {_lists('every')}"
+_ALL = f"{_BASE}, every AS (SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings), {_lists('every')}"
 _LIVE = f"""{_BASE}, {VERSIONS}, lv AS (SELECT logical_id AS doc_id, version_id, device_scope FROM versions WHERE list_contains(project_ids, {PROJECT}) AND device_scope IN ({", ".join(f"'{s}'" for s in SCOPES)})
   AND valid_from <= TIMESTAMP '{V_AT}' AND (valid_to IS NULL OR TIMESTAMP '{V_AT}' < valid_to) AND recorded_at <= TIMESTAMP '{K_AT}' AND (superseded_at IS NULL OR TIMESTAMP '{K_AT}' < superseded_at)), {_lists('lv')}"""
 
