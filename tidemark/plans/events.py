@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.plans.registry import operator
+from tidemark.session import checkpoint_dir, prepare
 from tidemark.sources.tables import table
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, leases, projections
 
 
 def ev(spark, sf):
@@ -115,3 +118,45 @@ def stream_once(spark, sf):
 def stream_tumbling(spark, sf):
     """Closed hours of the stream; hours that the watermark hasn't passed aren't out yet."""
     return jobs.run(jobs.tumbling(jobs.source(spark, sf)))
+
+
+_PROJECTIONS = """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) % 7 AS slot FROM events WHERE event_type IN ('purchase', 'signup', 'error', 'click')),
+c AS (SELECT *, max(CASE WHEN event_type <> 'click' THEN event_id END) OVER (PARTITION BY user_id, slot ORDER BY event_id) AS cur FROM e),
+h AS (SELECT cur, max(ts) AS last, count(*) AS n FROM c WHERE event_type = 'click' GROUP BY cur),
+s AS (SELECT *, lead(ts) OVER w AS next_ts, lead(event_type) OVER w AS next_type, lag(event_id) OVER w AS prev, lag(event_type) OVER w AS prev_type FROM e WHERE event_type <> 'click' WINDOW w AS (PARTITION BY user_id, slot ORDER BY event_id)),
+b AS (SELECT event_id, event_type || ':' || props AS body FROM s WHERE event_type <> 'error')
+SELECT 'version' AS rec, event_id AS a, user_id * 7 + slot AS b, CASE WHEN next_type IS NULL THEN 'open' WHEN next_type = 'error' THEN 'closed' ELSE 'superseded' END AS note, ts AS since, next_ts AS until, last AS touched, CAST(coalesce(n, 0) AS BIGINT) AS n
+  FROM s LEFT JOIN h ON cur = event_id WHERE event_type <> 'error'
+UNION ALL SELECT 'link', event_id, prev, CASE event_type WHEN 'signup' THEN 'derived_from' ELSE 'supersedes' END, ts, NULL, NULL, NULL FROM s WHERE event_type <> 'error' AND prev_type <> 'error'
+UNION ALL SELECT 'chunk', event_id, i, substr(body, CAST(i * 8 + 1 AS BIGINT), 8), NULL, NULL, NULL, NULL FROM b, unnest(range(0, (length(body) + 7) // 8)) AS u(i)"""
+
+
+@operator(_PROJECTIONS)
+def projection_rebuild(spark, sf):
+    """Versions, links and chunks rebuilt from the whole log."""
+    e = ev(spark, sf)
+    return projections.tall(*projections.fold(e, spark.createDataFrame([], projections.VERSION)))
+
+
+@operator(_PROJECTIONS)
+def projection_stream(spark, sf):
+    """The same kept up to date by a stream of the log in four parts, with upserts into versioned tables."""
+    folder = f"{checkpoint_dir(prepare(spark))}/projections-{uuid.uuid4().hex}"
+    e = ev(spark, sf)
+    lo, hi = e.agg(F.min("event_id"), F.max("event_id")).first()
+    cuts = [] if lo is None else [lo + (hi - lo + 1) * k // 4 for k in range(5)]
+    e.limit(0).write.parquet(f"{folder}/log")
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        e.where((F.col("event_id") >= a) & (F.col("event_id") < b)).coalesce(1).write.mode("append").parquet(f"{folder}/log")
+    p = projections.Projections(spark, folder)
+    p.run(spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/log"))
+    return p.rows()
+
+
+@operator()
+def lease_log(spark, sf):
+    """The log read as requests for leases (a user is a job, three workers): grants with fence tokens, renewals, expiry by timers, refusals, waits and dead jobs."""
+    kind = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for x in ("signup", "enqueue", "view", "claim", "click", "renew", "purchase", "done", "error", "fail"))), F.col("event_type")), F.lit("none"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    r = jobs.source(spark, sf).select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), (k % 3).alias("worker"), F.lit(None).cast("long").alias("token"))
+    return jobs.run(leases.outcomes(r))
