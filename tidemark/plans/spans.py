@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions import redact
 from tidemark.functions import text as X
 from tidemark.operators.sizes import sized
 from tidemark.plans.registry import operator
@@ -176,8 +177,19 @@ def event_sink(spark, sf):
     return spark.read.parquet(folder).select("event_id", F.col("event_type").cast("string").alias("event_type"), "user_id", "value")
 
 
-@operator(r"""SELECT event_id, '{"k":' || k || ',"mail":"[email]","note":"' || event_type || ' at [ipv4]"}' AS clean FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
+_RAW = r"""'{"k": ' || k || ', "mail" : "user' || user_id || '@example.org", "deep": [{"note": "said \"hi\" to a' || k || '@b.org", "a@key.org":"at 10.0.0.7, {\"x\": 1}"}, null, 1.50, "' || event_type || '"]}'"""
+
+
+@operator(rf"""SELECT event_id, replace(replace(replace({_RAW}, 'user' || user_id || '@example.org', '[email]'), 'a' || k || '@b.org', '[email]'), '10.0.0.7', '[ipv4]') AS clean FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
 def json_redact(spark, sf):
-    """H2.6: every string inside a JSON value masked, its shape kept."""
-    raw = F.to_json(F.struct(F.from_json("props", "k long").k.alias("k"), F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.org")).alias("mail"), F.concat("event_type", F.lit(" at 10.0.0.7")).alias("note")))
-    return table(spark, sf, "events").select("event_id", files.each_string(raw, X.mask).alias("clean"))
+    """H2.6: every string inside a JSON value masked, also behind blanks, escapes and in arrays; keys, numbers and shape stay."""
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return e.select("event_id", redact.masked_json(F.expr(_RAW.replace("\\", "\\\\"))).alias("clean"))
+
+
+@operator()
+def secret_redact(spark, sf):
+    """H2.3, H2.4: secrets of the documents as placeholders of kind and digest; how many, and which."""
+    t = redact.redacted(F.coalesce("text", F.lit("")))
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract_all(t, F.lit("⟦[a-z_]+:[0-9a-f]{8}⟧"), F.lit(0)).alias("found"))
+    return d.select("doc_id", F.size("found").cast("long").alias("n"), F.array_join("found", " ").alias("placeholders"))

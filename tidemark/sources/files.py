@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,9 +56,3 @@ def append_events(batch: DataFrame, path: str, key: str, by: str = "event_type")
     if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
         batch = batch.join(spark.read.parquet(path).select(key), key, "left_anti")
     batch.dropDuplicates([key]).write.mode("append").partitionBy(by).parquet(path)
-
-
-def each_string(json: Column, change: Callable[[Column], Column]) -> Column:
-    """JSON text with ``change`` made to it where its strings stand: keys, numbers and shape stay."""
-    parts = F.split(json, r'(?<=[:\[,])(?=")|(?<=")(?=[,}\]])')
-    return F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')) & ~F.contains(p, F.lit('":')), F.concat(F.lit('"'), change(F.substring(p, F.lit(2), F.length(p) - 2)), F.lit('"'))).otherwise(p)), "")
