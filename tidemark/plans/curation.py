@@ -137,16 +137,6 @@ def stats_staleness(spark, sf):
     return e.select("event_id", state.alias("state"))
 
 
-@operator(r"""SELECT doc_id, regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') || '-' || doc_id || '.md' AS name, source AS title, lang, sha256('---' || chr(10) || 'title: ' || source || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || coalesce(text, '')) AS digest FROM documents""")
-def export_tree(spark, sf):
-    """Items rendered as Markdown under names of their own, written, and read back as items."""
-    name = F.concat(F.regexp_replace(F.lower("source"), "[^a-z0-9]+", "-"), F.lit("-"), F.col("doc_id").cast("string"), F.lit(".md"))
-    head = F.concat(F.lit("---\ntitle: "), "source", F.lit("\nlang: "), "lang", F.lit("\n---\n"))
-    tree = stored(table(spark, sf, "documents").select("doc_id", name.alias("name"), F.concat(head, F.coalesce("text", F.lit(""))).alias("body")))
-    field = lambda k: F.regexp_extract("body", rf"\n{k}: ([^\n]*)\n", 1)
-    return tree.select("doc_id", "name", field("title").alias("title"), field("lang").alias("lang"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
-
-
 _CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 30 MINUTE FROM events)"
 
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.sections import LONG, front_matter, sections
+from tidemark.session import cut
+
 #: Larger files are not read.
 MOST_BYTES = 2 << 20
 
@@ -56,3 +64,61 @@ def append_events(batch: DataFrame, path: str, key: str, by: str = "event_type")
     if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
         batch = batch.join(spark.read.parquet(path).select(key), key, "left_anti")
     batch.dropDuplicates([key]).write.mode("append").partitionBy(by).parquet(path)
+
+
+def write_texts(texts: DataFrame, folder: str) -> DataFrame:
+    """Write a file for each row of ``texts`` (name, text) below ``folder``, which all executors share: a row (name, bytes) for each when this returns.
+
+    A name may hold slashes. A file gets its name only when it is whole, so that a task that is repeated leaves no half file.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            sizes = []
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                uri, raw = f"{folder.rstrip('/')}/{name}", (text or "").encode()
+                store, path = (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith("file:") or "://" not in uri else fs.FileSystem.from_uri(uri)
+                store.create_dir(path.rpartition("/")[0], recursive=True)
+                part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(raw)
+                store.move(part, path)
+                sizes.append(len(raw))
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return cut(texts.select("name", "text").mapInArrow(put, "name string, bytes long"))
+
+
+def corpus(spark: SparkSession, root: str, system: str, most: int = LONG) -> DataFrame:
+    """(source_key, path, anchor, title, kind, valid_from, evidence, body, digest) of the sections of all Markdown files below ``root``, and a row with ``reason`` for each file that isn't taken.
+
+    A key is the system's name and the path below the root, with the anchor behind #. Files that hold nothing but @ lines are stubs; of equal texts the one with the shortest
+    path, then the first, is taken and the others are copies of it. Sections longer than ``most`` are cut.
+    """
+    d = documents(spark, root, ("md",))
+    # the root as the files' paths spell it
+    rel = F.regexp_extract("path", re.escape(root.removeprefix("file:").rstrip("/").lstrip("/")) + "/(.*)$", 1)
+    stub = F.forall(F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+$", "")), "\n"), lambda x: F.trim(x) != ""), lambda x: x.rlike(r"^@\S+$"))
+    d = d.select(rel.alias("path"), "text", F.when(F.col("reason") != "admitted", F.col("reason")).when(stub, "stub").alias("reason"))
+    first = d.where("reason IS NULL").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min(F.struct(F.length("path").alias("n"), F.col("path").alias("path"))).path.alias("keeper"))
+    d = d.withColumn("h", F.sha2(F.col("text").cast("binary"), 256)).join(first, "h", "left")
+    d = d.withColumn("reason", F.coalesce("reason", F.when(F.col("keeper") != F.col("path"), F.concat(F.lit("copy-of:"), "keeper")))).drop("h", "keeper")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for path, text, reason in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if reason:
+                    rows.append((path, None, None, None, None, None, None, reason))
+                    continue
+                title = front_matter(text)[0].get("title") or path.rpartition("/")[2].removesuffix(".md")
+                rows += [(path, s.anchor, s.lead or title, s.kind, s.date, s.evidence, s.body, None) for s in sections(text, most)]
+            if rows:
+                yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+
+    names = ["path", "anchor", "title", "kind", "day", "evidence", "body", "reason"]
+    out = d.select("path", "text", "reason").mapInArrow(cut_up, ", ".join(f"{c} string" for c in names))
+    key = F.concat(F.lit(f"{system}:"), "path", F.coalesce(F.concat(F.lit("#"), "anchor"), F.lit("")))
+    return out.select(key.alias("source_key"), "path", "anchor", "title", "kind", F.col("day").cast("date").cast("timestamp_ntz").alias("valid_from"), "evidence", "body", F.sha2(F.col("body").cast("binary"), 256).alias("digest"), "reason")
