@@ -223,3 +223,36 @@ def test_licences_of_published_texts_and_near_misses(spark):
         text = " " + " ".join(r.choice([r.choice(some), r.choice(WORDS), *r.choice(some).split()[:3]]) for _ in range(12)) + " "
         at = sorted((i, i + len(p), n) for p, n in known.items() for i in range(len(text)) if text.startswith(p, i))
         assert licences.identify(text) == [n for i, j, n in at if not any(a <= i and j <= b and b - a > j - i for a, b, _ in at)]
+
+
+NOTICE = """This program is free software; you can redistribute it and/or modify it under the terms of the {name} as published by the
+Free Software Foundation; either version {v} of the License, or (at your option) any later version. This program is distributed in the hope that it
+will be useful, but WITHOUT ANY WARRANTY. See the {name} for more details. You should have received a copy of the {name} along with this program."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS."""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (NOTICE.format(name="GNU General Public License", v="2"), "GPL-2.0-or-later"),
+        (NOTICE.format(name="GNU Affero General Public License", v="3"), "AGPL-3.0-or-later"),
+        (NOTICE.format(name="GNU Lesser General Public License", v="2.1"), "LGPL-2.1-or-later"),
+        ("under the terms of version 2 of the GNU General Public License", "GPL-2.0"),
+        ("GNU General Public License v3.0", "GPL-3.0"),
+        ("GNU GPL v3", "GPL-3.0"),
+        ("the GNU General Public License alone", "GPL"),
+        ("License: Apache-2.0", "Apache-2.0"),
+        ("this is GPL-3.0-only", "GPL-3.0-only"),
+        (APACHE, "Apache-2.0"),
+        ("see http://www.apache.org/licenses/LICENSE-2.0", "Apache-2.0"),
+        ('BSD 3-Clause "New" License', "BSD-3-Clause"),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", "MIT OR Apache-2.0"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0-only"),
+        ("Released under pressure, in the public domain of our hearts", "unknown"),
+        ("It was placed in the public domain.", "public-domain"),
+    ],
+)
+def test_licences_by_hand(text, want):
+    assert ",".join(licences.licences(licences.identify(licences.normalised(licences.pa.array([text]))[0].as_py()))) == want

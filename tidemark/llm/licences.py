@@ -25,6 +25,10 @@ SENTENCES = (
     ("0bsd-name", "BSD Zero Clause License"),
     ("bsd-2-name", "BSD 2-Clause License"),
     ("bsd-3-name", "BSD 3-Clause License"),
+    ("bsd-2-simplified", 'BSD 2-Clause "Simplified" License'),
+    ("bsd-3-new", 'BSD 3-Clause "New" License'),
+    ("bsd-3-new-or-revised", 'BSD 3-Clause "New" or "Revised" License'),
+    ("bsd-3-revised", 'BSD 3-Clause "Revised" License'),
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("bsd-binary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"),
@@ -35,6 +39,7 @@ SENTENCES = (
     ("apache-2-short", "Apache License 2.0"),
     ("apache-2-bare", "Apache 2.0 License"),
     ("apache-comply", "you may not use this file except in compliance with the License"),
+    ("apache-url", "apache.org/licenses/LICENSE-2.0"),
     ("apache-basis", 'software distributed under the License is distributed on an "AS IS" BASIS'),
     ("gpl-name", "GNU General Public License"),
     ("gpl-2", "GNU General Public License, version 2"),
@@ -43,6 +48,23 @@ SENTENCES = (
     ("gpl-3", "GNU General Public License, version 3"),
     ("gpl-3-v", "GPLv3"),
     ("gpl-3-words", "GPL version 3"),
+    ("gpl-2-name-v", "GNU General Public License v2"),
+    ("gpl-2-name-v0", "GNU General Public License v2.0"),
+    ("gpl-3-name-v", "GNU General Public License v3"),
+    ("gpl-3-name-v0", "GNU General Public License v3.0"),
+    ("gpl-2-short-v", "GPL v2"),
+    ("gpl-3-short-v", "GPL v3"),
+    ("gpl-2-of", "version 2 of the GNU General Public License"),
+    ("gpl-3-of", "version 3 of the GNU General Public License"),
+    ("lgpl-2-1-of", "version 2.1 of the GNU Lesser General Public License"),
+    ("lgpl-3-of", "version 3 of the GNU Lesser General Public License"),
+    ("agpl-3-of", "version 3 of the GNU Affero General Public License"),
+    ("lgpl-2-1-v", "LGPL v2.1"),
+    ("lgpl-2-1-vv", "LGPLv2.1"),
+    ("lgpl-3-v", "LGPL v3"),
+    ("lgpl-3-vv", "LGPLv3"),
+    ("agpl-3-v", "AGPL v3"),
+    ("agpl-3-vv", "AGPLv3"),
     ("later-2", "either version 2 of the License, or (at your option) any later version"),
     ("later-3", "either version 3 of the License, or (at your option) any later version"),
     ("later-2-1", "either version 2.1 of the License, or (at your option) any later version"),
@@ -91,8 +113,10 @@ SENTENCES = (
     ("cc-by-nc-sa-4-name", "Attribution-NonCommercial-ShareAlike 4.0"),
     ("cc-by-nc-nd-4", "CC BY-NC-ND 4.0"),
     ("cc-by-nc-nd-4-name", "Attribution-NonCommercial-NoDerivatives 4.0"),
-    ("public-domain", "in the public domain"),
-    ("into-public-domain", "into the public domain"),
+    ("public-domain", "is in the public domain"),
+    ("into-public-domain", "released into the public domain"),
+    ("placed-public-domain", "placed in the public domain"),
+    ("to-public-domain", "dedicated to the public domain"),
     ("all-rights", "All rights reserved"),
     ("some-licence", "licensed under"),
     ("released-under", "released under"),
@@ -123,13 +147,17 @@ RULES = (
     ("LGPL-3.0-or-later", ("lgpl-name", "later-3")),
     ("LGPL-2.0-or-later", ("lgpl-library", "later-2")),
     ("AGPL-3.0-or-later", ("agpl-name", "later-3")),
+    ("Apache-2.0", ("apache-2", "apache-comply", "apache-url", "apache-basis")),
     ("Apache-2.0", ("apache-2", "apache-comply", "apache-basis")),
     ("MIT", ("mit-name",)),
-    ("BSD-2-Clause", ("bsd-2-name",)),
-    ("BSD-3-Clause", ("bsd-3-name",)),
-    *(("Apache-2.0", (x,)) for x in ("apache-2", "apache-2-short", "apache-2-bare")),
-    *(("GPL-3.0", (x,)) for x in ("gpl-3", "gpl-3-v", "gpl-3-words")),
-    *(("GPL-2.0", (x,)) for x in ("gpl-2", "gpl-2-v", "gpl-2-words")),
+    *(("BSD-2-Clause", (x,)) for x in ("bsd-2-name", "bsd-2-simplified")),
+    *(("BSD-3-Clause", (x,)) for x in ("bsd-3-name", "bsd-3-new", "bsd-3-new-or-revised", "bsd-3-revised")),
+    *(("Apache-2.0", (x,)) for x in ("apache-2", "apache-2-short", "apache-2-bare", "apache-url")),
+    *(("GPL-3.0", (x,)) for x in ("gpl-3", "gpl-3-v", "gpl-3-words", "gpl-3-name-v", "gpl-3-name-v0", "gpl-3-short-v", "gpl-3-of")),
+    *(("GPL-2.0", (x,)) for x in ("gpl-2", "gpl-2-v", "gpl-2-words", "gpl-2-name-v", "gpl-2-name-v0", "gpl-2-short-v", "gpl-2-of")),
+    *(("LGPL-2.1", (x,)) for x in ("lgpl-2-1-of", "lgpl-2-1-v", "lgpl-2-1-vv")),
+    *(("LGPL-3.0", (x,)) for x in ("lgpl-3-of", "lgpl-3-v", "lgpl-3-vv")),
+    *(("AGPL-3.0", (x,)) for x in ("agpl-3-of", "agpl-3-v", "agpl-3-vv")),
     ("GPL", ("gpl-name",)),
     ("LGPL", ("lgpl-name",)),
     ("LGPL", ("lgpl-library",)),
@@ -153,17 +181,23 @@ RULES = (
     *(("CC0-1.0", (x,)) for x in ("cc0-1", "cc0", "cc0-name")),
     *((f"CC-{x.upper()}.0", (f"cc-{x}{y}",)) for x in ("by-4", "by-3", "by-sa-4", "by-sa-3", "by-nc-4", "by-nd-4", "by-nc-sa-4", "by-nc-nd-4") for y in ("", "-name")),
     ("public-domain", ("public-domain",)),
-    ("public-domain", ("into-public-domain",)),
+    *(("public-domain", (x,)) for x in ("into-public-domain", "placed-public-domain", "to-public-domain")),
     ("proprietary", ("all-rights",)),
     *(("unknown", (x,)) for x in ("some-licence", "released-under", "distributed-under")),
 )
 #: Named only where no other licence is.
 LAST = ("proprietary", "unknown")
-#: Tags: every licence of the rules has one.
-_TAGGED = tuple(x for x in dict.fromkeys(n for n, _ in RULES) if x not in (*LAST, "public-domain", "GPL", "LGPL"))
-TAGS = tuple((f"spdx-{x.lower()}", f"SPDX-License-Identifier: {x}") for x in _TAGGED)
+#: Names of families, which say nothing more where a licence of the family is named.
+BARE = {"GPL": "GPL-", "LGPL": "LGPL-", "AGPL-3.0": "AGPL-3.0-", "GPL-2.0": "GPL-2.0-", "GPL-3.0": "GPL-3.0-", "LGPL-2.1": "LGPL-2.1-", "LGPL-3.0": "LGPL-3.0-"}
+_ONLY = tuple(f"{x}-{y}" for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for y in ("only", "or-later"))
+#: Tags: every licence of the rules has one, after either of two fields; those that end in only or or-later are known by themselves too.
+_TAGGED = tuple(x for x in dict.fromkeys((*(n for n, _ in RULES), *_ONLY)) if x not in (*LAST, "public-domain", "GPL", "LGPL"))
+#: Pairs that are offered for choice or together often.
+_PAIRS = tuple(f"{a} {word} {b}" for x, y in (("MIT", "Apache-2.0"), ("GPL-2.0-only", "MIT"), ("GPL-2.0-or-later", "MIT"), ("BSD-3-Clause", "MIT"), ("BSD-3-Clause", "Apache-2.0"), ("GPL-2.0-only", "BSD-2-Clause")) for word in ("OR", "AND") for a, b in ((x, y), (y, x)))
+_FIELDS = (("spdx", "SPDX-License-Identifier:"), ("field", "License:"))
+TAGS = (*((f"{f}-{x.lower().replace(' ', '-')}", f"{field} {x}") for f, field in _FIELDS for x in (*_TAGGED, *_PAIRS)), *((f"id-{x.lower()}", x) for x in _ONLY))
 ALL_SENTENCES = SENTENCES + TAGS
-ALL_RULES = (*((x, (f"spdx-{x.lower()}",)) for x in _TAGGED), *RULES)
+ALL_RULES = (*((x, (f"{f}-{x.lower().replace(' ', '-')}",)) for f, _ in _FIELDS for x in (*_TAGGED, *_PAIRS)), *((x, (f"id-{x.lower()}",)) for x in _ONLY), *RULES)
 #: All but letters, digits and plus signs parts words: white space, line ends, comment marks, punctuation.
 _BETWEEN = r"[^\p{L}\p{N}+]+"
 _CHARS = 4_000_000
@@ -211,15 +245,15 @@ def identify(text: str) -> list[str]:
 
 
 def licences(ids: list[str]) -> list[str]:
-    """The licences whose rules match, once each, in rule order."""
+    """The licences whose rules match, once each, in rule order; a family's name isn't among them beside one of its licences."""
     seq, hits = _pattern(tuple(ids)), []
     for name, own in ALL_RULES:
         p = _pattern(own)
         if p in seq:
             seq = seq.replace(p, "#")
             hits.append(name)
-    named = [n for n in hits if n not in LAST]
-    return list(dict.fromkeys(named or hits))
+    named = [n for n in hits if n not in LAST] or hits
+    return [n for n in dict.fromkeys(named) if not any(m.startswith(BARE.get(n, "\0")) for m in named)]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,6 +290,7 @@ def _sql() -> str:
         p = _pattern(ids)
         steps.append(f"s{k + 1} AS (SELECT doc_id, replace(seq, '{p}', '#') AS seq, CASE WHEN contains(seq, '{p}') AND NOT list_contains(hits, '{name}') THEN list_append(hits, '{name}') ELSE hits END AS hits FROM s{k})")
     last = ", ".join(f"'{x}'" for x in LAST)
+    bare = " OR ".join(f"x = '{n}' AND len(list_filter(named, lambda y: starts_with(y, '{p}'))) > 0" for n, p in BARE.items())
     return rf"""
 WITH n AS (SELECT doc_id, ' ' || replace(replace(trim(regexp_replace(lower(coalesce(text, '')), '{_BETWEEN}', ' ', 'g')), ' ', '  '), 'licence', 'license') || ' ' AS t FROM documents),
 k(id, p) AS (VALUES {known}),
@@ -264,8 +299,9 @@ o AS (SELECT doc_id, id, length(p) AS n, list_sum(list_transform(q[1:j], lambda
 w AS (SELECT * FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.doc_id = a.doc_id AND b.n > a.n AND b.s <= a.s AND b.s + b.n >= a.s + a.n)),
 e AS (SELECT doc_id, string_agg(id, ',' ORDER BY s) AS ids, string_agg('|' || id || '|', '' ORDER BY s) AS seq, count(*) AS n FROM w GROUP BY doc_id),
 {", ".join(steps)},
-h AS (SELECT doc_id, hits, list_filter(hits, lambda x: x NOT IN ({last})) AS named FROM s{len(ALL_RULES)})
-SELECT n.doc_id, coalesce(e.ids, '') AS sentences, coalesce(array_to_string(CASE WHEN len(h.named) > 0 THEN h.named ELSE h.hits END, ','), '') AS licences, CAST(coalesce(e.n, 0) AS BIGINT) AS n_sentences
+g AS (SELECT doc_id, CASE WHEN len(list_filter(hits, lambda x: x NOT IN ({last}))) > 0 THEN list_filter(hits, lambda x: x NOT IN ({last})) ELSE hits END AS named FROM s{len(ALL_RULES)}),
+h AS (SELECT doc_id, list_filter(named, lambda x: NOT ({bare})) AS names FROM g)
+SELECT n.doc_id, coalesce(e.ids, '') AS sentences, coalesce(array_to_string(h.names, ','), '') AS licences, CAST(coalesce(e.n, 0) AS BIGINT) AS n_sentences
 FROM n LEFT JOIN e ON n.doc_id = e.doc_id LEFT JOIN h ON n.doc_id = h.doc_id
 """
 
