@@ -110,8 +110,13 @@ def stream_breaker(spark, sf):
 
 @operator("SELECT event_id, user_id, event_type FROM events")
 def stream_once(spark, sf):
-    """I4: duplicates dropped inside the watermark."""
-    return jobs.run(jobs.once(jobs.source(spark, sf)).select("event_id", "user_id", "event_type"))
+    """I4: a log in which events come again, at once and later, with duplicates dropped inside the watermark."""
+    folder = f"{checkpoint_dir(prepare(spark))}/twice-{uuid.uuid4().hex}"
+    e = ev(spark, sf)
+    e.unionAll(e.where("value > 50")).write.parquet(folder)
+    e.where("event_type = 'click'").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(jobs.EVENTS).option("maxFilesPerTrigger", 1 << 20).parquet(folder)
+    return jobs.run(jobs.once(stream).select("event_id", "user_id", "event_type"))
 
 
 @operator("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS spent FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 30 MINUTE FROM events) GROUP BY ALL")

@@ -128,3 +128,25 @@ def conversation_clean(spark, sf):
     """H1.38, B20: tags stripped, long turns clipped to head and tail, decision words counted."""
     clip = F.when(F.length("text") > 200, F.concat(F.left("text", F.lit(120)), F.lit(" … "), F.right("text", F.lit(60)))).otherwise(F.col("text"))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.length(F.regexp_replace("text", "<[^>]*>", "")).cast("long").alias("clean_chars"), F.regexp_count(F.lower("text"), F.lit("decid|agreed|must|never|always")).cast("long").alias("score"), clip.alias("clip"))
+
+
+#: Frequent short words of four languages that the others hardly have.
+FUNCTION_WORDS = {
+    "de": ("und", "der", "die", "das", "ist", "nicht", "ein", "mit", "auf", "von", "zu", "den"),
+    "en": ("the", "and", "of", "to", "is", "that", "it", "was", "for", "with", "at", "his"),
+    "es": ("el", "y", "los", "las", "por", "con", "para", "una", "su", "como", "lo", "más"),
+    "fr": ("le", "et", "les", "des", "est", "dans", "une", "pour", "qui", "pas", "du", "il"),
+}
+_HITS = ", ".join(f"len(list_filter(w, lambda x: list_contains([{', '.join(repr(x) for x in ws)}], x)))" for ws in FUNCTION_WORDS.values())
+
+
+@operator(rf"""WITH h AS (SELECT doc_id, lang, [{_HITS}] AS h FROM (SELECT doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS w FROM documents))
+SELECT doc_id, CASE WHEN list_max(h) > 0 THEN [{", ".join(repr(x) for x in FUNCTION_WORDS)}][list_position(h, list_max(h))] END AS guess, list_max(h) > 0 AND [{", ".join(repr(x) for x in FUNCTION_WORDS)}][list_position(h, list_max(h))] = lang AS right_guess FROM h""")
+def language_guess(spark, sf):
+    """H1.39: the language whose short words a text has most of, and whether that is the one it is filed under."""
+    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    hits = lambda own: F.size(F.filter("w", lambda x: x.isin(*own)))
+    d = table(spark, sf, "documents").select("doc_id", "lang", w.alias("w"))
+    d = d.select("doc_id", "lang", F.array(*map(hits, FUNCTION_WORDS.values())).alias("h"))
+    best = F.when(F.array_max("h") > 0, F.element_at(F.array(*map(F.lit, FUNCTION_WORDS)), F.array_position("h", F.array_max("h")).cast("int")))
+    return d.select("doc_id", best.alias("guess"), F.coalesce(best == F.col("lang"), F.lit(False)).alias("right_guess"))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 LOG = "kind string, number long, path string"
 
@@ -21,7 +22,7 @@ class Versioned:
     what they would read as the next base. One writer at a time. Rows with ``deleted`` true, if there is such a column, take their key away.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, key: list[str], order: str) -> None:
+    def __init__(self, spark: SparkSession, folder: str, schema: str | StructType, key: list[str], order: str) -> None:
         self.spark, self.folder, self.schema, self.key, self.order = spark, folder.rstrip("/"), schema, key, order
 
     def _append(self, rows: list[tuple[str, int, str]]) -> None:

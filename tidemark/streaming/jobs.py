@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.session import checkpoint_dir, prepare
+from tidemark.sources.versioned import Versioned
 
+#: Batches after which changes are merged.
+COMPACT = 16
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -30,25 +33,21 @@ def run(stream: DataFrame, mode: str = "append", folder: str | None = None) -> D
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def latest(stream: DataFrame, key: list[str], order: str, fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Keep the newest row of each key by ``foreachBatch``: a batch is merged with what is kept and written under the batch's number, so a batch that
-    is run again writes the same."""
+def latest(stream: DataFrame, key: list[str], order: str, folder: str | None = None) -> DataFrame:
+    """The newest row of each key, in a versioned table below ``folder``: a batch commits its own newest rows under its number, so one that comes again changes
+    nothing, and the same folder goes on where an earlier run ended. Every COMPACT batches the changes become a base."""
     spark = prepare(stream.sparkSession)
-    folder = f"{checkpoint_dir(spark)}/latest-{uuid.uuid4().hex}"
-    written: list[int] = []
+    folder = folder or f"{checkpoint_dir(spark)}/latest-{uuid.uuid4().hex}"
+    kept = Versioned(spark, f"{folder}/table", stream.schema, key, order)
+    rest = [c for c in stream.columns if c not in key]
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = fold(batch) if fold else batch
-        old = [n for n in written if n < number]
-        if old:
-            rows = spark.read.parquet(f"{folder}/v{old[-1]}").unionByName(rows)
-        best = rows.groupBy(*key).agg(F.max_by(F.struct(*(c for c in rows.columns if c not in key)), order).alias("x"))
-        best.select(*key, "x.*").write.mode("overwrite").parquet(f"{folder}/v{number}")
-        if number not in written:
-            written.append(number)
+        kept.merge(batch.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(*key, "x.*"), number)
+        if number % COMPACT == COMPACT - 1:
+            kept.compact()
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/v{written[-1]}") if written else spark.createDataFrame([], stream.schema)
+    return kept.read()
 
 
 def tumbling(stream: DataFrame, size: str = "1 hour", late: str = "30 minutes") -> DataFrame:
