@@ -17,7 +17,7 @@ def test_stages_and_run(spark, sf):
     assert set(last.doc_id) == {r.doc_id for r in docs.collect()}
 
 
-CLASH = ["key", "id", "row", "fp", "node", "root", "h", "w", "__row", "__key", "words", "item", "pairs", "exact", "near", "line_no", "component_id"]
+CLASH = ["key", "id", "row", "fp", "node", "root", "h", "w", "__row", "__key", "words", "item", "pairs", "exact", "near", "line_no", "component_id", "a.b"]
 
 
 def test_stages_on_odd_rows_and_clashing_columns(spark, sf):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import let, windows, words
+from tidemark.llm.text import let, named, windows, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -121,8 +121,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tu
 
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns and no shuffle."""
-    f = figures(docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("__row"), F.col(text).alias("text")))
+    """The rows of ``docs`` that pass, with all their columns, of any name, and no shuffle. Null and empty texts don't pass; texts of any length are judged whole; repeated rows each are."""
+    f = figures(docs.select(F.struct(*(named(c) for c in docs.columns)).alias("__row"), F.col(text).alias("text")))
     # a filter would be pushed below the projections and evaluate each figure again for every rule
     return f.select(F.explode(F.when(verdict(rules), F.array("__row"))).alias("__kept")).select("__kept.*")
 

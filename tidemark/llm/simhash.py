@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemark.llm.components import connected
+from tidemark.llm.text import named
 from tidemark.session import cut
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 2
@@ -226,7 +227,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     c = components(docs)
     ids = c.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     ids = cut(ids)
-    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(ids.select("doc_id"), "doc_id", "left_semi").select([named(c) for c in docs.columns])
     if ids.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))

@@ -34,3 +34,8 @@ def windows(hashes: Column, size: int) -> Column:
         return F.when(F.size(e) >= size, F.slice(F.transform(e, one), F.lit(1), F.size(e) - (size - 1))).otherwise(F.array().cast("array<bigint>"))
 
     return let(hashes, runs)
+
+
+def named(column: str) -> Column:
+    """The column of that very name, which may hold dots and backquotes."""
+    return F.col("`" + column.replace("`", "``") + "`")
