@@ -22,5 +22,5 @@ def test_stages_are_taken_up_again(spark, tmp_path):
 
 def test_declarations_skip_fences_quotes_and_denials(spark):
     body = "Supersedes docs/a.md, b.md\n```\nreplaces docs/c.md\n```\n> ersetzt docs/d.md\nit never replaces docs/e.md\n```\nreplaces docs/f.md"
-    items = spark.createDataFrame([(1, body), (2, None), (3, "")], "id int, body string")
-    assert sorted((r.id, r.target) for r in C.declarations(items, "id", "body").collect()) == [(1, "b.md"), (1, "docs/a.md")]
+    items = spark.createDataFrame([(1, "x.md", body), (2, None, None), (3, "y.md", "")], "key int, path string, body string")
+    assert sorted((r.key, r.target.value) for r in C.declarations(items).collect()) == [(1, "b.md"), (1, "docs/a.md")]

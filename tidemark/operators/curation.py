@@ -5,30 +5,66 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from tidemark.functions import declared
 from tidemark.session import checkpoint_dir, prepare
 
-#: Words that declare a supersession, words that deny it, and paths it may name.
-MARKER = r"(?i)\b(?:supersedes|replaces|ersetzt)\b"
-NEGATION = r"(?i)\b(?:not|never|cannot|nicht|kein|keine|niemals)\b"
-PATH = r"[A-Za-z0-9_./-]+[.]md\b"
+_REF = StructType([StructField(c, StringType()) for c in ("kind", "value")] + [StructField("section", BooleanType()), StructField("paths", ArrayType(StringType()))])
+_FOUND = ArrayType(StructType([StructField("marker", StringType()), StructField("reverse", BooleanType()), StructField("subject", _REF), StructField("row", StringType()), StructField("itself", BooleanType()), StructField("targets", ArrayType(_REF)), StructField("clause", StringType())]))
 
 
-def declarations(items: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, target): the paths that lines of a body declare superseded. Fenced code (an open fence ends with the text), quoted lines and denials don't count; a null body declares nothing."""
-    line = F.explode(F.split(F.regexp_replace(body, r"(?s)```.*?(?:```|\z)", ""), "\n"))
-    said = items.select(key, line.alias("line")).where(F.col("line").rlike(MARKER) & ~F.col("line").rlike(NEGATION) & ~F.startswith(F.ltrim("line"), F.lit(">")))
-    target = F.explode(F.regexp_extract_all(F.regexp_extract("line", MARKER + "(.*)", 1), F.lit(PATH), F.lit(0)))
-    return said.select(key, target.alias("target")).distinct()
+@F.pandas_udf(_FOUND)
+def _declared(bodies: pd.Series, paths: pd.Series) -> pd.Series:
+    def one(body: str | None, path: str | None) -> list[dict]:
+        ref = lambda k, v, section: {"kind": k, "value": v, "section": section, "paths": declared.candidates(v, path) if k == "path" else []}
+        return [{"marker": d.marker, "reverse": d.reverse, "subject": ref(*d.subject, False) if d.subject else None, "row": d.row, "itself": d.itself, "targets": [ref(*t) for t in d.targets], "clause": d.clause} for d in declared.declarations(body or "")]
 
+    return pd.Series([one(b, p) for b, p in zip(bodies, paths, strict=True)], dtype=object)
 
-def resolve(found: DataFrame, paths: DataFrame, key: str) -> DataFrame:
-    """Each declaration with the item at its path as ``resolved``; null if no item or more than one has that path. paths: key, path."""
-    one = paths.groupBy("path").agg(F.count("*").alias("n"), F.min(key).alias("resolved")).where("n = 1")
-    return found.join(one, found.target == one.path, "left").select(key, "target", "resolved")
+
+def declarations(items: DataFrame) -> DataFrame:
+    """(key, n, k, marker, reverse, subject, row, itself, target): a row for each target of each declaration of items (key, path, body)."""
+    d = items.select("key", F.posexplode(_declared("body", "path")).alias("n", "d")).select("key", "n", "d.*")
+    return d.select("key", "n", "marker", "reverse", "subject", "row", "itself", F.posexplode("targets").alias("k", "target"))
+
+
+def resolve(found: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, n, k, marker, newer, older, scope, outcome) for each row of ``declarations``: a link, or why there is none.
+
+    items: (key, path, title, body). A reference is looked up by its path from the root, then from the folder of the item, then as a title, or as a decision row that
+    a line of a body begins with; each step counts only if one item has it. A target is unknown if no step finds one, and ambiguous if the last that finds any finds more.
+    Without an explicit subject a decision row declares for itself, and a text if nothing else is the subject; a text retires no single row of another. Links
+    between parts of one item are none. The scope is part where a row or section is retired, or a row retires a text.
+    """
+    by = lambda d: d.groupBy("kind", "value").agg(F.count("*").alias("n_items"), F.min("item").alias("item"))
+    rows = items.select("key", F.explode(F.split("body", "\n")).alias("line")).select(F.lit("row").alias("kind"), F.regexp_extract("line", r"^(D-\d{3,4})[ \t]*\|", 1).alias("value"), F.col("key").alias("item")).where("value <> ''")
+    names = by(items.select(F.lit("path").alias("kind"), F.col("path").alias("value"), F.col("key").alias("item")).unionByName(items.select(F.lit("title").alias("kind"), F.col("title").alias("value"), F.col("key").alias("item"))).unionByName(rows).where("value IS NOT NULL"))
+    subject = found.where("subject IS NOT NULL").select("key", "n", F.lit(-1).alias("k"), F.col("subject").alias("ref"))
+    refs = found.select("key", "n", "k", F.col("target").alias("ref")).unionByName(subject.distinct())
+    steps = F.when(F.col("ref.kind") == "path", F.transform("ref.paths", lambda p: F.struct(F.lit("path").alias("kind"), p.alias("value")))).otherwise(F.array(F.struct(F.col("ref.kind").alias("kind"), F.col("ref.value").alias("value"))))
+    tried = refs.select("key", "n", "k", F.posexplode(steps).alias("step", "s")).select("key", "n", "k", "step", "s.*").join(names, ["kind", "value"])
+    hit = tried.groupBy("key", "n", "k").agg(F.min_by(F.when(F.col("n_items") == 1, F.col("item")), F.when(F.col("n_items") == 1, F.col("step"))).alias("item"), F.count("*").alias("any"))
+    t = found.join(hit.select("key", "n", "k", F.col("item").alias("target_item"), "any"), ["key", "n", "k"], "left")
+    t = t.join(hit.where("k = -1").select("key", "n", F.col("item").alias("subject_item")), ["key", "n"], "left")
+    own = F.when(F.col("subject").isNotNull(), F.col("subject_item")).when(F.col("row").isNotNull() | F.col("itself"), F.col("key"))
+    text_only = F.col("subject").isNull() & F.col("row").isNull()
+    outcome = (
+        F.when(F.col("target_item").isNull(), F.when(F.col("any").isNull(), "unknown-target").otherwise("ambiguous-target"))
+        .when(own.isNull(), F.when(F.col("subject").isNull(), "no-subject").otherwise("unknown-subject"))
+        .when(text_only & ~F.col("reverse") & (F.col("target.kind") == "row"), "row-by-text").when(own == F.col("target_item"), "self").otherwise("link")
+    )
+    t = t.withColumns({"outcome": outcome, "own": own})
+    ok = F.col("outcome") == "link"
+    new_is_row = (F.coalesce(F.col("subject.kind"), F.when(F.col("row").isNotNull(), "row")) == "row") & ~F.col("reverse")
+    old_is_part = F.when(F.col("reverse"), F.coalesce(F.col("subject.kind") == "row", F.col("row").isNotNull())).otherwise((F.col("target.kind") == "row") | F.col("target.section"))
+    side = lambda a, b: F.when(ok, F.when(F.col("reverse"), F.col(a)).otherwise(F.col(b)))
+    scope = F.when(ok, F.when(F.coalesce(old_is_part, F.lit(False)) | F.coalesce(new_is_row, F.lit(False)), "part").otherwise("whole"))
+    return t.select("key", "n", "k", "marker", side("target_item", "own").alias("newer"), side("own", "target_item").alias("older"), scope.alias("scope"), "outcome")
 
 
 def lessons(items: DataFrame, key: str, body: str) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import quotes
 from tidemark.operators import cluster
 from tidemark.plans.registry import operator
 from tidemark.session import checkpoint_dir, prepare
-from tidemark.sources import files
+from tidemark.sources import bucketed, files, packs
+from tidemark.sources.model import VERSIONS, versions
 from tidemark.sources.tables import table
 
 #: The mean cosine distance up to which clusters are merged.
@@ -115,3 +117,59 @@ def export_tree(spark, sf):
     field = lambda k: F.regexp_extract(body, rf"\n{k}: ([^\n]*)\n", 1)
     d = files.scan(spark, folder, ("md",)).withColumn("name", F.element_at(F.split("path", "/"), -1))
     return d.select(F.regexp_extract("name", r"-(\d+)\.md$", 1).cast("long").alias("doc_id"), "name", field("title").alias("title"), field("lang").alias("lang"), F.sha2("content", 256).alias("digest"))
+
+
+_CASES = "c AS (SELECT lang || '-' || doc_id // 1000 AS pack, CAST(doc_id AS VARCHAR) AS case_id, CASE WHEN n_chars > 3000 THEN 'long' WHEN n_chars > 500 THEN 'middle' END AS tier, source, doc_id, doc_id % 3 = 0 AS own FROM documents)"
+
+
+def _packs(spark, sf):
+    """Packs written from the documents, a file for a language and a thousand ids, and the answers of some cases from the labels."""
+    folder = _folder(spark, "packs")
+    d = table(spark, sf, "documents")
+    tier = F.when(F.col("n_chars") > 3000, "long").when(F.col("n_chars") > 500, "middle")
+    gold = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("own-"), F.col("doc_id").cast("string")))
+    line = F.to_json(F.struct(F.col("doc_id").alias("id"), tier.alias("tier"), "source", gold.alias("gold")))
+    pack = F.concat("lang", F.lit("-"), F.floor(F.col("doc_id") / 1000).cast("string")).alias("pack")
+    texts = d.where("lang IS NOT NULL").groupBy(pack).agg(F.concat(F.array_join(F.collect_list(line), "\n"), F.lit("\n")).alias("text"))
+    files.write_texts(texts.select(F.concat("pack", F.lit(".jsonl")).alias("name"), "text"), f"{folder}/packs")
+    overlay = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("case_id"), F.lit("toxic").alias("gold"))
+    overlay = overlay.join(d.select(F.col("doc_id").cast("string").alias("case_id"), pack), "case_id")
+    return packs.packs(spark, f"{folder}/packs"), overlay
+
+
+@operator(f"""WITH {_CASES}, g AS (SELECT CAST(doc_id AS VARCHAR) AS case_id FROM labels WHERE toxic = 1)
+SELECT pack, c.case_id, tier, source, CASE WHEN g.case_id IS NOT NULL THEN 'toxic' WHEN own THEN 'own-' || doc_id END AS gold, CASE WHEN g.case_id IS NOT NULL THEN 'overlay' WHEN own THEN 'case' ELSE 'none' END AS gold_from FROM c LEFT JOIN g ON g.case_id = c.case_id""")
+def task_packs(spark, sf):
+    """Cases of all packs of a folder, with answers of their own or laid over them."""
+    cases, overlay = _packs(spark, sf)
+    c = packs.with_gold(cases, overlay)
+    return c.select("pack", "case_id", "tier", F.get_json_object("body", "$.source").alias("source"), "gold", "gold_from")
+
+
+@operator("""SELECT 'part-' || vec_id // 1000 AS pack, CAST(vec_id AS VARCHAR) AS case_id, CASE WHEN vec_id % 50 = 7 THEN 'other-length' WHEN vec_id % 50 = 9 THEN 'no-vector' END AS reason,
+CASE WHEN vec_id % 50 NOT IN (7, 9) THEN round(list_sum(CAST(embedding AS DOUBLE[])), 3) END AS total FROM embeddings""")
+def vector_load(spark, sf):
+    """Vectors loaded from a folder of JSON lines, with the reason why one is left out."""
+    folder = _folder(spark, "vectors")
+    e = table(spark, sf, "embeddings")
+    v = F.when(F.col("vec_id") % 50 == 7, F.slice("embedding", 1, 3)).when(F.col("vec_id") % 50 != 9, F.col("embedding"))
+    line = F.to_json(F.struct(F.col("vec_id").alias("id"), v.alias("vector")))
+    texts = e.groupBy(F.concat(F.lit("part-"), F.floor(F.col("vec_id") / 1000).cast("string"), F.lit(".jsonl")).alias("name")).agg(F.concat(F.array_join(F.collect_list(line), "\n"), F.lit("\n")).alias("text"))
+    files.write_texts(texts, folder)
+    loaded = packs.vectors(packs.packs(spark, folder), 64)
+    return loaded.select("pack", "case_id", "reason", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
+
+
+@operator(f"""WITH {VERSIONS}, w AS (SELECT *, lag(weight) OVER (PARTITION BY logical_id ORDER BY valid_from, version_id) AS before FROM versions)
+SELECT c_custkey, c_mktsegment, CAST(count(version_id) AS BIGINT) AS n, CAST(count(*) FILTER (weight > before) AS BIGINT) AS grew, max(valid_from) AS newest FROM customer LEFT JOIN w ON logical_id = c_custkey GROUP BY c_custkey, c_mktsegment""")
+def bucketed_history(spark, sf):
+    """2.X join strategy: versions kept in buckets of their item; the window over an item's line, its counts and the join with its owner use the buckets as they lie."""
+    return history(bucketed.bucketed(versions(spark, sf), "logical_id", ["valid_from", "version_id"]), table(spark, sf, "customer"))
+
+
+def history(kept, owners):
+    w = Window.partitionBy("logical_id").orderBy("valid_from", "version_id")
+    v = kept.select("logical_id", "valid_from", "version_id", "weight").withColumn("before", F.lag("weight").over(w))
+    n = v.groupBy("logical_id").agg(F.count("*").alias("n"), F.count_if(F.col("weight") > F.col("before")).alias("grew"), F.max("valid_from").alias("newest"))
+    j = owners.select("c_custkey", "c_mktsegment").hint("merge").join(n, F.col("c_custkey") == F.col("logical_id"), "left")
+    return j.select("c_custkey", "c_mktsegment", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("grew", F.lit(0)).alias("grew"), "newest")

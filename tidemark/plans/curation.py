@@ -13,30 +13,23 @@ from tidemark.sources.model import VERSIONS, versions
 from tidemark.sources.tables import table
 from tidemark.streaming import jobs
 
-_BODY = """coalesce(text, '') || chr(10) || CASE doc_id % 5 WHEN 0 THEN 'This document supersedes docs/' || (doc_id - 1) || '.md, docs/' || (doc_id - 2) || '.md.' WHEN 1 THEN 'It does not supersede or replaces docs/' || (doc_id - 1) || '.md'
-  WHEN 2 THEN '```' || chr(10) || 'supersedes docs/' || (doc_id - 1) || '.md' || chr(10) || '```' WHEN 3 THEN '> supersedes docs/' || (doc_id - 1) || '.md' ELSE 'Dieses Dokument ersetzt docs/' || (doc_id - 1) || '.md' END"""
-
-
-@operator(rf"""WITH b AS (SELECT doc_id, regexp_replace({_BODY}, '(?s)```.*?(?:```|\z)', '', 'g') AS body FROM documents),
-l AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS line FROM b),
-d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_extract(line, '{C.MARKER}(.*)', 1), '{C.PATH}')) AS target FROM l WHERE regexp_matches(line, '{C.MARKER}') AND NOT regexp_matches(line, '{C.NEGATION}') AND NOT starts_with(ltrim(line, ' '), '>')),
-p AS (SELECT path, min(doc_id) AS resolved FROM (SELECT 'docs/' || (CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END) || '.md' AS path, doc_id FROM documents) GROUP BY path HAVING count(*) = 1)
-SELECT d.doc_id, target, resolved FROM d LEFT JOIN p ON path = target""")
+_SAY = """CASE doc_id % 12 WHEN 0 THEN 'This document supersedes docs/' || (doc_id - 1) || '.md and ./' || (doc_id - 2) || '.md.' WHEN 1 THEN 'It does not supersede or replaces docs/' || (doc_id - 1) || '.md.'
+  WHEN 2 THEN '```' || chr(10) || 'This document supersedes docs/' || (doc_id - 1) || '.md' || chr(10) || '```' WHEN 3 THEN '> supersedes docs/' || (doc_id - 1) || '.md' WHEN 4 THEN 'Dieses Dokument wurde ersetzt durch "Title ' || (doc_id - 4) || '".'
+  WHEN 5 THEN 'D-' || (1000 + doc_id % 9000) || ' | open | replaces docs/' || (doc_id - 5) || '.md' WHEN 6 THEN 'Note: D-' || (1000 + (doc_id - 1) % 9000) || ' is superseded by docs/' || (doc_id - 3) || '.md.' WHEN 7 THEN 'This document supersedes docs/nowhere.md.'
+  WHEN 8 THEN 'Replaces D-' || (1000 + (doc_id - 3) % 9000) || '.' WHEN 9 THEN 'The other page replaces docs/' || (doc_id - 1) || '.md.' WHEN 10 THEN 'This document replaces "Twice".' ELSE 'This page supersedes docs/' || doc_id || '.md section 2.' END"""
+_SAID = """e AS (SELECT doc_id, doc_id % 12 AS c FROM documents), k AS (SELECT doc_id, c, unnest(CASE c WHEN 0 THEN [0, 1] ELSE [0] END) AS k FROM e WHERE c NOT IN (1, 2, 3)),
+o AS (SELECT doc_id, k, c, CASE c WHEN 4 THEN 'superseded_by' WHEN 6 THEN 'superseded_by' WHEN 0 THEN 'supersedes' WHEN 7 THEN 'supersedes' WHEN 11 THEN 'supersedes' ELSE 'replaces' END AS marker,
+  CASE c WHEN 0 THEN doc_id - 1 - k WHEN 4 THEN doc_id - 4 WHEN 5 THEN doc_id - 5 WHEN 6 THEN doc_id - 3 WHEN 8 THEN doc_id - 3 WHEN 9 THEN doc_id - 1 WHEN 11 THEN doc_id END AS target, CASE c WHEN 6 THEN doc_id - 1 ELSE doc_id END AS own FROM k),
+x AS (SELECT o.*, CASE WHEN c = 7 THEN 'unknown-target' WHEN c = 10 THEN CASE WHEN (SELECT count(*) FROM documents WHERE doc_id % 12 = 3) > 1 THEN 'ambiguous-target' ELSE 'unknown-target' END WHEN target NOT IN (SELECT doc_id FROM documents) THEN 'unknown-target'
+  WHEN c = 9 THEN 'no-subject' WHEN c = 8 THEN 'row-by-text' WHEN c = 11 THEN 'self' ELSE 'link' END AS outcome FROM o)"""
+
+
+@operator(f"""WITH {_SAID} SELECT doc_id AS key, CAST(0 AS INTEGER) AS n, CAST(k AS INTEGER) AS k, marker, CASE WHEN outcome = 'link' THEN CASE WHEN c IN (4, 6) THEN target ELSE own END END AS newer, CASE WHEN outcome = 'link' THEN CASE WHEN c IN (4, 6) THEN own ELSE target END END AS older,
+CASE WHEN outcome = 'link' THEN CASE WHEN c IN (5, 6) THEN 'part' ELSE 'whole' END END AS scope, outcome FROM x""")
 def declarations(spark, sf):
-    """H1.23, H1.28, C24: what documents say they supersede, outside fences, quotes and denials, resolved by path where one document has it."""
-    n, i = F.lit("\n"), F.col("doc_id")
-    path = lambda k: F.concat(F.lit("docs/"), (i - k).cast("string"), F.lit(".md"))
-    say = (
-        F.when(i % 5 == 0, F.concat(F.lit("This document supersedes "), path(1), F.lit(", "), path(2), F.lit(".")))
-        .when(i % 5 == 1, F.concat(F.lit("It does not supersede or replaces "), path(1)))
-        .when(i % 5 == 2, F.concat(F.lit("```\nsupersedes "), path(1), F.lit("\n```")))
-        .when(i % 5 == 3, F.concat(F.lit("> supersedes "), path(1)))
-        .otherwise(F.concat(F.lit("Dieses Dokument ersetzt "), path(1)))
-    )
-    d = table(spark, sf, "documents")
-    found = C.declarations(d.select("doc_id", F.concat(F.coalesce("text", F.lit("")), n, say).alias("body")), "doc_id", "body")
-    paths = d.select("doc_id", F.concat(F.lit("docs/"), F.when(i % 10 == 9, i - 1).otherwise(i).cast("string"), F.lit(".md")).alias("path"))
-    return C.resolve(found, paths, "doc_id")
+    """H1.23, H1.28, C24: what notes filed with the documents declare superseded, outside fences, quotes, denials; resolved by path, title or decision row where one item has it, else why not."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.when(F.col("doc_id") % 12 == 3, "Twice").otherwise(F.concat(F.lit("Title "), F.col("doc_id").cast("string"))).alias("title"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.expr(_SAY)).alias("body"))
+    return C.resolve(C.declarations(d), d)
 
 
 @operator("""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS t FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)),
