@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.session import cut, stored
 
 
-def reach(edges: DataFrame, seeds: DataFrame, most: int | None = 100) -> DataFrame:
-    """(node, depth): every node reachable from ``seeds`` (node) over ``edges`` (src, dst), with its least depth. Ends also on cycles."""
+def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, depth): every node reachable from ``seeds`` (node) over ``edges`` (src, dst), with its least depth. Ends also on cycles; ``most`` steps are an error, if given."""
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for depth in count(1) if most is None else range(1, most + 1):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions import quotes
+from tidemark.functions import jsons, meter, quotes
 from tidemark.operators import cluster
 from tidemark.plans.registry import operator
 from tidemark.session import checkpoint_dir, prepare
@@ -173,3 +173,22 @@ def history(kept, owners):
     n = v.groupBy("logical_id").agg(F.count("*").alias("n"), F.count_if(F.col("weight") > F.col("before")).alias("grew"), F.max("valid_from").alias("newest"))
     j = owners.select("c_custkey", "c_mktsegment").hint("merge").join(n, F.col("c_custkey") == F.col("logical_id"), "left")
     return j.select("c_custkey", "c_mktsegment", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("grew", F.lit(0)).alias("grew"), "newest")
+
+
+@operator()
+def vocabulary_meter(spark, sf):
+    """H1.15, M3: tokens of each whole text by a published vocabulary, and its beginning of at most 48 of them."""
+    d = table(spark, sf, "documents").select("doc_id", meter.headed(F.coalesce("text", F.lit("")), 48).alias("x"))
+    return d.select("doc_id", F.col("x.tokens").cast("long").alias("tokens"), F.col("x.text").alias("head"), F.col("x.cut").alias("cut"))
+
+
+_VALUE = """'{"k": ' || k || ', "b": {"z": [1.50, {"q": "é", "note": 1}], "x": 1, "note": "gone"}, "a": null}'"""
+_PATCH = """'{"b": {"x": null, "y": "' || event_type || '"}, "k": {"deep": ' || user_id || '}, "new": [null]}'"""
+
+
+@operator(f"""SELECT event_id, '{{"a":null,"b":{{"note":"gone","y":"' || event_type || '","z":[1.50,{{"note":1,"q":"é"}}]}},"k":{{"deep":' || user_id || '}},"new":[null]}}' AS merged,
+'{{"a":null,"b":{{"x":1,"z":[1.50,{{"q":"é"}}]}},"k":' || k || '}}' AS without, sha256('{{"a":null,"b":{{"note":"gone","x":1,"z":[1.50,{{"note":1,"q":"é"}}]}},"k":' || k || '}}') AS digest FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)""")
+def json_patch(spark, sf):
+    """H3.11, H3.12: a merge patch of nested values, keys taken out at any depth, and the digest of the canonical form."""
+    e = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).select("event_id", F.expr(_VALUE).alias("v"), F.expr(_PATCH).alias("p"))
+    return e.select("event_id", jsons.merged_text("v", "p").alias("merged"), jsons.without_keys("note")("v").alias("without"), F.sha2(jsons.canonical_text("v").cast("binary"), 256).alias("digest"))
