@@ -74,7 +74,12 @@ def call_the_day(spark, sf):
 _W = r"[\p{L}\p{N}_]+"
 
 
-@operator(rf"""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+# turns as they are, that repeat the one before, that change a number in it, or that keep most of it and add one
+_NEW = "CASE (conv_id + turn) % 5 WHEN 1 THEN before WHEN 2 THEN before || ' 41' WHEN 3 THEN substr(before, 1, CAST(length(before) * 2 / 3 AS INT)) || ' 12' ELSE text END"
+_OLD = "CASE (conv_id + turn) % 5 WHEN 2 THEN before || ' 40' ELSE before END"
+
+
+@operator(rf"""WITH r AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), t AS (SELECT conv_id, turn, {_NEW} AS text, {_OLD} AS before FROM r),
 s AS (SELECT conv_id, turn, text, before, list_distinct(regexp_extract_all(lower(text), '{_W}')) AS a, list_distinct(regexp_extract_all(lower(before), '{_W}')) AS b, list_distinct(regexp_extract_all(text, '[0-9]+')) AS x, list_distinct(regexp_extract_all(before, '[0-9]+')) AS y FROM t WHERE before IS NOT NULL AND text IS NOT NULL),
 j AS (SELECT *, len(list_intersect(a, b)) AS c, len(list_filter(x, lambda v: NOT list_contains(y, v))) AS more, len(list_filter(y, lambda v: NOT list_contains(x, v))) AS less FROM s)
 SELECT conv_id, turn, CASE WHEN more > 0 AND less > 0 THEN 'dropped' WHEN text = before THEN 'duplicate' WHEN 100 * c >= 90 * (len(a) + len(b) - c) THEN 'relates' WHEN 2 * c >= len(b) AND more > 0 THEN 'refines' ELSE 'relates' END AS relation,
@@ -82,7 +87,7 @@ SELECT conv_id, turn, CASE WHEN more > 0 AND less > 0 THEN 'dropped' WHEN text =
 def relation_guards(spark, sf):
     """What rules leave of a judged relation of two texts, and whether it acts by itself, asks, or is only kept."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("new"), F.lag("text").over(w).alias("old"))
+    t = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(w)).select("conv_id", "turn", F.expr(_NEW).alias("new"), F.expr(_OLD).alias("old"))
     return C.relations(t.where("old IS NOT NULL AND new IS NOT NULL"), ["conv_id", "turn"])
 
 

@@ -23,6 +23,8 @@ q AS (SELECT DISTINCT qid, tok FROM qw)"""
 _IS_ID = "regexp_matches(term, '[_/.0-9]')"
 #: Words of a title, words of a preview and how many stand before its first hit, and words that the hits of a query may show.
 TITLE_WORDS, SHOWN, LEAD, BUDGET = 8, 16, 4, 200
+#: What first place in one list gives, rounded up: evidence of no more is weak.
+WEAK = 0.0164
 #: The project, scopes and instants of hybrid_query.
 PROJECT, SCOPES, V_AT, K_AT = 27, ["all", "class:work", "device:3"], "1996-06-01", "1996-06-05"
 
@@ -276,12 +278,12 @@ def multi_query(spark, sf):
 
 
 @operator(f"""WITH {_ALL}, u AS (SELECT f.* FROM fused f JOIN labels l ON l.doc_id = f.doc_id AND quality = 1), r AS (SELECT qid, doc_id, max(score) AS score FROM u GROUP BY ALL)
-SELECT qid, doc_id, score, score >= 0.03 AS warn FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM r) WHERE rk <= 10""")
+SELECT qid, doc_id, score, score > {WEAK} AS warn FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM r) WHERE rk <= 10""")
 def risk_check(spark, sf):
     """L5, L7, H1.12: fused hits inside a restricted universe, and whether they are strong enough."""
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
     d = fused(Lexicon(spark, sf)).join(good, "doc_id").groupBy("qid", "doc_id").agg(F.max("score").alias("score"))
-    return R.top_k(d, ["qid"], [F.col("score").desc(), F.col("doc_id")], 10).select("qid", "doc_id", "score", (F.col("score") >= 0.03).alias("warn"))
+    return R.top_k(d, ["qid"], [F.col("score").desc(), F.col("doc_id")], 10).select("qid", "doc_id", "score", (F.col("score") > WEAK).alias("warn"))
 
 
 @operator(f"""WITH {_Q}, dt AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM documents), n AS (SELECT count(*) AS n FROM documents), df AS (SELECT tok, count(*) AS df FROM dt GROUP BY tok),

@@ -44,16 +44,19 @@ def quote_tests(spark, sf):
     return q.select("conv_id", "turn", "quote", (two & F.contains(pad(F.array_join("w", " ")), pad(F.col("quote")))).alias("verbatim"))
 
 
+# turns of which every third names a number that the one before has too, and every third one that it hasn't
+_NUMBERED = "CASE (conv_id + turn) % 3 WHEN 0 THEN text || ' 17' WHEN 1 THEN text || ' 17, 18.5' ELSE text || ' 17 18.5 19' END"
+_NUMBERS = f"SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM (SELECT conv_id, turn, {_NUMBERED} AS text FROM conversations)"
 _TURNS = "SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations"
 
 
-@operator(rf"""WITH t AS ({_TURNS}), s AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS numbers, regexp_extract_all(coalesce(before, ''), '[0-9]+(?:[.,][0-9]+)*') AS have,
+@operator(rf"""WITH t AS ({_NUMBERS}), s AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) AS numbers, regexp_extract_all(coalesce(before, ''), '[0-9]+(?:[.,][0-9]+)*') AS have,
   list_filter(list_distinct(regexp_extract_all(lower(text), '{_TOKEN}')), lambda x: length(x) >= 9) AS refs, regexp_extract_all(lower(coalesce(before, '')), '{_TOKEN}') AS known FROM t)
 SELECT conv_id, turn, len(list_filter(numbers, lambda x: NOT list_contains(have, x))) = 0 AS supported, CAST(len(list_filter(refs, lambda x: NOT list_contains(known, x))) AS BIGINT) AS ungrounded FROM s""")
 def literal_support(spark, sf):
     """H1.24, H1.26: whether all numbers of a turn stand in the one before, and how many long words don't."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.coalesce(F.lag("text").over(w), F.lit("")).alias("before"))
+    t = table(spark, sf, "conversations").withColumn("text", F.expr(_NUMBERED)).select("conv_id", "turn", "text", F.coalesce(F.lag("text").over(w), F.lit("")).alias("before"))
     number = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"[0-9]+(?:[.,][0-9]+)*"), F.lit(0))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(_TOKEN), F.lit(0))
     refs = F.filter(F.array_distinct(words("text")), lambda x: F.length(x) >= 9)

@@ -256,11 +256,11 @@ def privacy_gate(spark, sf):
     return versions(spark, sf).select("version_id", reason.alias("reason"), (before("superseded_at", K_AT) | before("valid_to", V_AT)).alias("stale"), (after("superseded_at") | after("valid_to")).alias("changed_since"))
 
 
-@operator(r"SELECT page_id, regexp_matches(url, '^https?://[^/]*/[^/]*$') AS shallow, regexp_matches(url, '^.*\.html$') AS is_html, split_part(url, '/', 3) AS host FROM pages")
+@operator(r"SELECT page_id, regexp_matches(url, '^http://[^/]*/[^/]*/[^/]*$') AS shallow, regexp_matches(url, '^.*\.html$') AS is_html, split_part(url, '/', 3) AS host FROM pages")
 def path_scope(spark, sf):
     """B17, H1.30: glob tests of a path, and its first part."""
     p = table(spark, sf, "pages")
-    return p.select("page_id", (P.glob(F.col("url"), ["http://*/*", "https://*/*"])).alias("shallow"), P.glob(F.col("url"), ["**.html"]).alias("is_html"), F.split_part("url", F.lit("/"), F.lit(3)).alias("host"))
+    return p.select("page_id", (P.glob(F.col("url"), ["http://*/*/*"])).alias("shallow"), P.glob(F.col("url"), ["**.html"]).alias("is_html"), F.split_part("url", F.lit("/"), F.lit(3)).alias("host"))
 
 
 @operator("""WITH d AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(range(0, greatest(1, CAST(ceil(n_chars / 2000.0) AS BIGINT)))) FROM documents) GROUP BY doc_id),

@@ -198,10 +198,10 @@ def mandatory_pack(spark, sf):
     return m.withColumn("used", F.sum("n").over(w)).where("must OR used <= 800").select("conv_id", "turn", "used")
 
 
-@operator("SELECT u, live, shadow, CASE WHEN live AND shadow THEN 'both' WHEN live THEN 'live' ELSE 'shadow' END AS side FROM (SELECT user_id AS u, bool_or(event_type = 'view') AS live, bool_or(event_type = 'click') AS shadow FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id)")
+@operator("SELECT u, live, shadow, CASE WHEN live AND shadow THEN 'both' WHEN live THEN 'live' ELSE 'shadow' END AS side FROM (SELECT user_id AS u, bool_or(event_type = 'view') AS live, bool_or(event_type = 'click') AS shadow FROM events WHERE event_type IN ('view', 'click') AND value > 200 GROUP BY user_id)")
 def set_diff_runs(spark, sf):
     """Both sides, one side only, by a full outer join of distinct keys."""
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events").where("value > 200")
     one = lambda t, c: e.where(F.col("event_type") == t).select(F.col("user_id").alias("u"), F.lit(True).alias(c)).distinct()
     j = one("view", "live").join(one("click", "shadow"), "u", "full_outer").select("u", F.coalesce("live", F.lit(False)).alias("live"), F.coalesce("shadow", F.lit(False)).alias("shadow"))
     return j.withColumn("side", F.when(F.col("live") & F.col("shadow"), "both").when(F.col("live"), "live").otherwise("shadow"))
