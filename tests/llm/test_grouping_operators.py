@@ -307,3 +307,57 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     assert sum(got[i].predicted == y for i, y in labels if got[i].held_out) >= 0.9 * len(held)
     assert all(0 <= x.score <= 1 for x in got.values()) and got[9000].score < 0.5 and got[9001].score < 0.5
     assert got[9003].predicted == 1 and len(got) == len(texts) + len(more)
+
+
+def draw_least(key, shards):
+    """The shard with the least exponential draw of all, one hash after the other."""
+    best = None
+    for s in range(shards):
+        seed = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), 42)
+        h = xxhash.xxh64_intdigest((key % (1 << 64)).to_bytes(8, "little"), seed)
+        draw = -np.log(((h >> 11) + 1) / ((1 << 53) + 1))
+        best = min(best or (draw, s), (draw, s))
+    return best[1]
+
+
+def test_sharding_as_plain_draws(spark):
+    ids = [0, 1, 2, -5, 10**12, *range(100, 400)]
+    got = {x.doc_id: x for x in sharding.shard(table(spark, [(i, f"text {i}") for i in ids])).collect()}
+    assert all(got[i].shard == draw_least(i, 24) and got[i].grown_shard == draw_least(i, 25) for i in ids)
+    for s in range(24):
+        own = sorted((x for x in got.values() if x.shard == s), key=lambda x: x.doc_id)
+        assert [x.slot for x in own] == list(range(len(own)))
+
+
+def plain_logit(net, vectors):
+    """The network over one window, one word after the other."""
+    p, h = net.p, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    both = []
+    for s, order in (("f", range(len(vectors))), ("b", range(len(vectors) - 1, -1, -1))):
+        state, out = np.zeros(h), {}
+        for t in order:
+            x = vectors[t] @ p[f"W{s}"] + p[f"B{s}"]
+            z, r = sig(x[:h] + state @ p[f"U{s}"][:, :h]), sig(x[h : 2 * h] + state @ p[f"U{s}"][:, h:])
+            n = np.tanh(x[2 * h :] + r * (state @ p[f"N{s}"]))
+            state = (1 - z) * n + z * state
+            out[t] = state
+        both.append([out[t] for t in range(len(vectors))])
+    states = np.concatenate([np.array(both[0]), np.array(both[1])], axis=1)
+    e = np.exp([float(np.tanh(x @ p["A"] + p["a"]) @ p["v"][:, 0]) for x in states])
+    pooled = (e[:, None] * states).sum(axis=0) / e.sum()
+    return float(pooled @ p["w"][:, 0] + p["b"][0])
+
+
+def test_toxicity_as_one_window_after_the_other(spark):
+    r = random.Random(4)
+    net = toxicity.Network(5)
+    model = toxicity.Model({w: i + 1 for i, w in enumerate(WORDS[:4])}, net, 0.1)
+    model.scale, model.shift = 1.7, -0.3
+    texts = [" ".join(r.choice(WORDS) for _ in range(n)) for n in (1, 2, toxicity.WINDOW - 1, toxicity.WINDOW, toxicity.WINDOW + 1, 3 * toxicity.WINDOW + 7)]
+    got = [x.score for x in sorted(toxicity.score(table(spark, list(enumerate(texts))), model).collect(), key=lambda x: x.doc_id)]
+    for text, score in zip(texts, got, strict=True):
+        words = toxicity.split_words(text)
+        starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)
+        worst = max(plain_logit(net, model.vectors_of(words[a : a + toxicity.WINDOW]).astype(float)) for a in starts)
+        assert abs(score - 1 / (1 + np.exp(-(model.scale * worst + model.shift)))) < 1e-4
