@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -97,13 +98,20 @@ def _sequence(text: str) -> list[str]:
     return [p[i : i + 3] for w in words for p in [f"  {w} "] for i in range(len(p) - 2)]
 
 
+@lru_cache(maxsize=4096)
+def _parts(text: str) -> tuple[list[str], frozenset[str]]:
+    """The trigrams of a text in order, and the different ones; one text meets many terms in a row."""
+    run = _sequence(text)
+    return run, frozenset(run)
+
+
 def extent_similarity(term: str, text: str, least: float = SIMILAR) -> float:
     """The largest share of common trigrams of ``term`` and any run of the trigrams of ``text``, of all that either has; 0 where it is below ``least``.
 
     The best run begins and ends with one of the term's trigrams, and holds at most so many different ones as leave the share in reach.
     """
-    own, run = set(_sequence(term)), _sequence(text)
-    if not own:
+    own, (run, there) = _parts(term)[1], _parts(text)
+    if not own or len(own & there) < least * len(own) - 1e-9:
         return 0.0
     most, best = len(own) / least + 1e-9, 0.0
     starts = [i for i, g in enumerate(run) if g in own]
