@@ -53,3 +53,22 @@ def test_the_cheap_test_misses_no_text_that_breaks_a_rule(spark):
         hit = [n for i, (n, _) in enumerate(X.RULES) if r[f"r{i}"]]
         assert r.f == hit and (r.s or not hit)
         assert bool(hit) == (r.t not in ("plain prose", ""))
+
+
+def test_kept_tables_are_made_once_for_a_state_of_the_source_and_again_when_gone(spark, tmp_path):
+    from tidemark import session
+
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.read.parquet(f"{tmp_path}/s").groupBy().count()
+
+    spark.range(3).write.parquet(f"{tmp_path}/s")
+    get = lambda: session.kept(spark, "n", session.state_of(spark.read.parquet(f"{tmp_path}/s")), build).first()[0]
+    assert [get(), get()] == [3, 3] and len(made) == 1
+    spark.range(2).write.mode("append").parquet(f"{tmp_path}/s")
+    assert [get(), get()] == [5, 5] and len(made) == 2
+    key = next(k for k in session._KEPT if k[1] == "n" and k[2] == session.state_of(spark.read.parquet(f"{tmp_path}/s")))
+    session._KEPT[key] = f"{tmp_path}/gone"
+    assert get() == 5 and len(made) == 3

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -77,10 +78,15 @@ def state_of(source) -> str:
 
 
 def kept(spark: SparkSession, name: str, state: str, build):
-    """What ``build()`` gives, stored once for each ``state`` of its sources in this session and read again after that."""
+    """What ``build()`` gives, stored once for each ``state`` of its sources in this session and read again after that; made anew if the folder is gone."""
     key = (prepare(spark).sparkContext.applicationId, name, state)
-    if key not in _KEPT:
-        path = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
-        build().write.parquet(path)
-        _KEPT[key] = path
-    return spark.read.parquet(_KEPT[key])
+    if key in _KEPT:
+        try:
+            return spark.read.parquet(_KEPT[key])
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    path = f"{checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
+    build().write.parquet(path)
+    _KEPT[key] = path
+    return spark.read.parquet(path)
