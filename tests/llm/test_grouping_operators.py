@@ -169,8 +169,18 @@ def test_sharding(spark):
 
     w = [1.0] * 24
     heavy = w[:5] + [3.0] + w[6:]
-    x = ids.select(sharding.descend(F.col("id"), 24, w).alias("a"), sharding.descend(F.col("id"), 24, heavy).alias("b")).toPandas()
-    assert set(x[x.a != x.b].b) == {5} and 0.1 < (x.b == 5).mean() < 0.13
+    none = w[:7] + [0.0] + w[8:]
+    at = {n: sharding.descend(F.col("id"), 24, v).alias(n) for n, v in (("a", w), ("b", heavy), ("c", none))}
+    x = ids.select("id", *at.values()).toPandas()
+    moved = x[x.a != x.b]
+    assert 0.1 < (x.b == 5).mean() < 0.13 and set(moved.b // 12) == {0}  # what moves goes into the region that weighs more
+    inside = moved[moved.a // 12 == 0]
+    assert set(inside.b // 4) == {1} and set(inside[inside.a // 4 == 1].b) == {5}
+    out = x[x.a != x.c]
+    assert 7 not in set(x.c) and set(out.a // 12) == {0} and set(out[out.a // 4 != 1].c // 12) == {1}
+    for i, a, b, c in x.head(300).itertuples(index=False):
+        assert (a, b, c) == (plain_descent(i, 24, w), plain_descent(i, 24, heavy), plain_descent(i, 24, none))
+    assert sharding.tree(26)[0][2:] == [[6], [7]] and sharding.tree(5)[1] == [[0, 1, 2, 3], [4]]
 
 
 def test_id_files(spark, tmp_path):
@@ -309,21 +319,31 @@ def test_toxicity_learns_and_scores_whole_texts(spark):
     assert got[9003].predicted == 1 and len(got) == len(texts) + len(more)
 
 
-def draw_least(key, shards):
-    """The shard with the least exponential draw of all, one hash after the other."""
-    best = None
-    for s in range(shards):
-        seed = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), 42)
-        h = xxhash.xxh64_intdigest((key % (1 << 64)).to_bytes(8, "little"), seed)
-        draw = -np.log(((h >> 11) + 1) / ((1 << 53) + 1))
-        best = min(best or (draw, s), (draw, s))
-    return best[1]
+def plain_descent(key, shards, weights):
+    """Region, rack and shard by one draw after the other; shards beyond 24 are regions."""
+    tree = [[[r * 12 + k * 4 + s for s in range(4)] for k in range(3)] for r in range(2)] + [[[s]] for s in range(24, shards)]
+    flat = lambda x: [x] if isinstance(x, int) else [s for y in x for s in flat(y)]
+    numbers = {}
+    for level in range(3):
+        nodes = tree if level == 0 else [k for r in tree for k in r] if level == 1 else [s for r in tree for k in r for s in k]
+        numbers |= {(level, str(x)): i for i, x in enumerate(nodes)}
+    at = tree
+    for level in range(3):
+        draws = []
+        for node in at:
+            h = 42
+            for value, size in ((level, 4), (numbers[level, str(node)], 4), (key % (1 << 64), 8)):
+                h = xxhash.xxh64_intdigest(value.to_bytes(size, "little"), h)
+            rate = sum(weights[s] for s in flat(node))
+            draws.append(-np.log(((h >> 11) + 1) / ((1 << 53) + 1)) / rate if rate else np.inf)
+        at = at[int(np.argmin(draws))]
+    return at
 
 
 def test_sharding_as_plain_draws(spark):
     ids = [0, 1, 2, -5, 10**12, *range(100, 400)]
     got = {x.doc_id: x for x in sharding.shard(table(spark, [(i, f"text {i}") for i in ids])).collect()}
-    assert all(got[i].shard == draw_least(i, 24) and got[i].grown_shard == draw_least(i, 25) for i in ids)
+    assert all(got[i].shard == plain_descent(i, 24, [1.0] * 24) and got[i].grown_shard == plain_descent(i, 25, [1.0] * 25) for i in ids)
     for s in range(24):
         own = sorted((x for x in got.values() if x.shard == s), key=lambda x: x.doc_id)
         assert [x.slot for x in own] == list(range(len(own)))

@@ -11,48 +11,53 @@ from tidemark.llm.text import let
 from tidemark.session import cut
 
 SHARDS = 24
-#: Shards of a region and of a rack; shard s stands in region s // REGION and there in rack s // RACK.
+#: Shards of a region and of a rack: planned shard s stands in region s // REGION and there in rack s % REGION // RACK.
 REGION, RACK = 12, 4
 #: Rows of an id range, on average; a task numbers those of one range and shard.
 RANGE_ROWS = 100_000
 
 
-def _draw(key: Column, shard: int, weight: float) -> Column:
-    """An exponential draw with the shard's weight as its rate. It depends on key, shard and that weight alone."""
-    if weight <= 0:
-        return F.lit(float("inf"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(shard), key), 11) + F.lit(1)) / F.lit(float((1 << 53) + 1))
-    return -F.ln(u) / F.lit(float(weight))
+def tree(shards: int, planned: int = SHARDS) -> tuple[list[list[int]], list[list[int]]]:
+    """(racks of each region, shards of each rack). Shards beyond the planned ones open a region of their own each."""
+    first = [list(range(r, min(r + REGION, planned, shards))) for r in range(0, min(planned, shards), REGION)]
+    first += [[s] for s in range(planned, shards)]
+    regions: list[list[int]] = []
+    racks: list[list[int]] = []
+    for held in first:
+        cut_ = [held[i : i + RACK] for i in range(0, len(held), RACK)]
+        regions.append(list(range(len(racks), len(racks) + len(cut_))))
+        racks += cut_
+    return regions, racks
 
 
-def _least(values: Column) -> Column:
-    """The place from 0 of the least value, the first one of equals."""
-    return let(values, lambda v: (F.array_position(v, F.array_min(v)) - 1).cast("int"))
+def _chosen(key: Column, level: int, nodes: Column, weights: list[float]) -> Column:
+    """The node with the least exponential draw, the first of equals. A draw depends on key, level, node and the node's weight alone."""
+    rates = F.array(*(F.lit(float(w)) for w in weights))
 
+    def draw(node: Column) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(level), node, key), 11) + F.lit(1)) / F.lit(float((1 << 53) + 1))
+        rate = F.get(rates, node)
+        return F.when(rate > 0, -F.ln(u) / rate).otherwise(F.lit(float("inf")))
 
-def descend(key: Column, shards: int, weights: list[float] | None = None) -> Column:
-    """The shard of ``key``: the region with the least draw, in it the rack with the least draw, in it the shard with the least draw.
+    return let(F.transform(nodes, draw), lambda d: F.get(nodes, (F.array_position(d, F.array_min(d)) - 1).cast("int")))
 
-    A node's draw is the least of the draws below it; the least of exponential draws has the sum of their rates, so nodes are drawn by weight.
-    Another weight for a shard changes the draws of that shard, its rack and its region and no others, so rows move into or out of
-    that shard only, and a shard more takes rows only into itself. A shard of weight 0 gets nothing.
-    """
-    weights = weights or [1.0] * shards
-    if len(weights) != shards or not any(w > 0 for w in weights):
-        raise ValueError("a weight for each shard is needed, and one above 0")
-    regions = -(-shards // REGION)
-    draws = F.array(*(_draw(key, s, w) for s, w in enumerate(weights)))
-    part = lambda d, at, n: F.slice(d, at + F.lit(1), F.lit(n))
-
-    def walk(d: Column) -> Column:
-        region = _least(F.array(*(F.array_min(part(d, F.lit(r * REGION), REGION)) for r in range(regions))))
-        return let(region, lambda r: let(rack(d, r), lambda k: (k + _least(part(d, k, RACK))).cast("int")))
 
-    def rack(d: Column, r: Column) -> Column:
-        racks = F.sequence(r * REGION, F.least(r * REGION + REGION, F.lit(shards)) - 1, F.lit(RACK))
-        return r * REGION + RACK * _least(F.transform(racks, lambda k: F.array_min(part(d, k, RACK))))
+def descend(key: Column, shards: int, weights: list[float] | None = None, planned: int = SHARDS) -> Column:
+    """The shard of ``key``: one region by weighted draws, then one of its racks, then one of the rack's shards; only these nodes' draws are made.
 
-    return let(draws, walk)
+    A node weighs what its shards weigh together and has a draw of its own, so nodes and shards are chosen by weight. Another weight for a shard
+    changes the draws of that shard, its rack and its region and no others: rows move between regions only into or out of that region, within it
+    only into or out of that rack, and within the rack only into or out of that shard. A shard beyond the planned ones is a region of its own, so it
+    takes rows only into itself. A shard of weight 0 gets nothing, if any other weighs more.
+    """
+    weights = weights or [1.0] * shards
+    regions, racks = tree(shards, planned)
+    of_racks = [sum(weights[s] for s in rack) for rack in racks]
+    of_regions = [sum(of_racks[k] for k in region) for region in regions]
+    below = lambda lists, node: F.get(F.array(*(F.array(*map(F.lit, x)) for x in lists)), node)
+    region = _chosen(key, 0, F.array(*map(F.lit, range(len(regions)))), of_regions)
+    rack = let(region, lambda r: _chosen(key, 1, below(regions, r), of_racks))
+    return let(rack, lambda k: _chosen(key, 2, below(racks, k), weights))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = SHARDS, weights: list[float] | None = None) -> DataFrame:
@@ -65,13 +70,14 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: i
     t = F.coalesce(F.col(text), F.lit(""))
     key = F.coalesce(F.col(id_col), F.lit(-1))
     more = weights + [1.0] if weights else None
+    planned = min(shards, SHARDS)
     d = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(t) + 8).cast("long").alias("size"),
         F.crc32(t).alias("text_crc32"),
         F.lit("key").alias("law"),
-        descend(key, shards, weights).alias("shard"),
-        descend(key, shards + 1, more).alias("grown_shard"),
+        descend(key, shards, weights, planned).alias("shard"),
+        descend(key, shards + 1, more, planned).alias("grown_shard"),
     )
     order = ["doc_id", "text_crc32", "size"]
     ranges = max(1, docs.count() // RANGE_ROWS)
