@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("temporal", "aggregates", "windows", "retrieval", "graph", "text", "events", "memory", "scalars", "spans", "curation", "corpora")
+MODULES = ("temporal", "aggregates", "windows", "retrieval", "graph", "text", "events", "memory", "scalars", "spans", "curation", "corpora", "links", "claims")
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_query"
 _QUERIES: dict[str, Query] = {}
