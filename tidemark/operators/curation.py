@@ -42,7 +42,7 @@ def resolve(found: DataFrame, items: DataFrame) -> DataFrame:
     between parts of one item are none. The scope is part where a row or section is retired, or a row retires a text.
     """
     by = lambda d: d.groupBy("kind", "value").agg(F.count("*").alias("n_items"), F.min("item").alias("item"))
-    rows = items.select("key", F.explode(F.split("body", "\n")).alias("line")).select(F.lit("row").alias("kind"), F.regexp_extract("line", r"^(D-\d{3,4})[ \t]*\|", 1).alias("value"), F.col("key").alias("item")).where("value <> ''")
+    rows = items.select("key", F.explode(F.split("body", "\n")).alias("line")).select(F.lit("row").alias("kind"), F.regexp_extract("line", r"^(D-\d{3,})[ \t]*\|", 1).alias("value"), F.col("key").alias("item")).where("value <> ''")
     names = by(items.select(F.lit("path").alias("kind"), F.col("path").alias("value"), F.col("key").alias("item")).unionByName(items.select(F.lit("title").alias("kind"), F.col("title").alias("value"), F.col("key").alias("item"))).unionByName(rows).where("value IS NOT NULL"))
     subject = found.where("subject IS NOT NULL").select("key", "n", F.lit(-1).alias("k"), F.col("subject").alias("ref"))
     refs = found.select("key", "n", "k", F.col("target").alias("ref")).unionByName(subject.distinct())

@@ -13,10 +13,11 @@ from tidemark.sources.model import VERSIONS, versions
 from tidemark.sources.tables import table
 from tidemark.streaming import jobs
 
+# each document's row has a number of its own, however many documents there are
 _SAY = """CASE doc_id % 12 WHEN 0 THEN 'This document supersedes docs/' || (doc_id - 1) || '.md and ./' || (doc_id - 2) || '.md.' WHEN 1 THEN 'It does not supersede or replaces docs/' || (doc_id - 1) || '.md.'
   WHEN 2 THEN '```' || chr(10) || 'This document supersedes docs/' || (doc_id - 1) || '.md' || chr(10) || '```' WHEN 3 THEN '> supersedes docs/' || (doc_id - 1) || '.md' WHEN 4 THEN 'Dieses Dokument wurde ersetzt durch "Title ' || (doc_id - 4) || '".'
-  WHEN 5 THEN 'D-' || (1000 + doc_id % 9000) || ' | open | replaces docs/' || (doc_id - 5) || '.md' WHEN 6 THEN 'Note: D-' || (1000 + (doc_id - 1) % 9000) || ' is superseded by docs/' || (doc_id - 3) || '.md.' WHEN 7 THEN 'This document supersedes docs/nowhere.md.'
-  WHEN 8 THEN 'Replaces D-' || (1000 + (doc_id - 3) % 9000) || '.' WHEN 9 THEN 'The other page replaces docs/' || (doc_id - 1) || '.md.' WHEN 10 THEN 'This document replaces "Twice".' ELSE 'This page supersedes docs/' || doc_id || '.md section 2.' END"""
+  WHEN 5 THEN 'D-' || (1000 + doc_id) || ' | open | replaces docs/' || (doc_id - 5) || '.md' WHEN 6 THEN 'Note: D-' || (1000 + doc_id - 1) || ' is superseded by docs/' || (doc_id - 3) || '.md.' WHEN 7 THEN 'This document supersedes docs/nowhere.md.'
+  WHEN 8 THEN 'Replaces D-' || (1000 + doc_id - 3) || '.' WHEN 9 THEN 'The other page replaces docs/' || (doc_id - 1) || '.md.' WHEN 10 THEN 'This document replaces "Twice".' ELSE 'This page supersedes docs/' || doc_id || '.md section 2.' END"""
 _SAID = """e AS (SELECT doc_id, doc_id % 12 AS c FROM documents), k AS (SELECT doc_id, c, unnest(CASE c WHEN 0 THEN [0, 1] ELSE [0] END) AS k FROM e WHERE c NOT IN (1, 2, 3)),
 o AS (SELECT doc_id, k, c, CASE c WHEN 4 THEN 'superseded_by' WHEN 6 THEN 'superseded_by' WHEN 0 THEN 'supersedes' WHEN 7 THEN 'supersedes' WHEN 11 THEN 'supersedes' ELSE 'replaces' END AS marker,
   CASE c WHEN 0 THEN doc_id - 1 - k WHEN 4 THEN doc_id - 4 WHEN 5 THEN doc_id - 5 WHEN 6 THEN doc_id - 3 WHEN 8 THEN doc_id - 3 WHEN 9 THEN doc_id - 1 WHEN 11 THEN doc_id END AS target, CASE c WHEN 6 THEN doc_id - 1 ELSE doc_id END AS own FROM k),
