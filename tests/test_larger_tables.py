@@ -29,3 +29,8 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def test_declared_rows_stay_apart_beyond_nine_thousand_documents(same_as_sql):
     same_as_sql("declarations", documents=([(i, "a", "en", "s", 1) for i in (*range(13), *range(8997, 9013), *range(99_996, 100_010))], DOCUMENTS))
+
+
+@pytest.mark.parametrize("before", ["ab cd e", "ab cd ef", "ab cd efg", "a b c d e 7"])
+def test_guards_of_a_turn_cut_within_a_word(same_as_sql, before):
+    same_as_sql("relation_guards", conversations=([(1, t, "user", before) for t in range(11)], "conv_id long, turn int, role string, text string"))

@@ -87,8 +87,9 @@ SELECT conv_id, turn, CASE WHEN more > 0 AND less > 0 THEN 'dropped' WHEN text =
   CASE WHEN more > 0 AND less > 0 THEN 'none' WHEN text = before THEN 'auto' WHEN 2 * c >= len(b) THEN 'question' ELSE 'ledger' END AS tier FROM j""")
 def relation_guards(spark, sf):
     """What rules leave of a judged relation of two texts, and whether it acts by itself, asks, or is only kept."""
+    # the SQL's cast to a whole number rounds, Spark's cuts
     w = Window.partitionBy("conv_id").orderBy("turn")
-    t = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(w)).select("conv_id", "turn", F.expr(_NEW).alias("new"), F.expr(_OLD).alias("old"))
+    t = table(spark, sf, "conversations").withColumn("before", F.lag("text").over(w)).select("conv_id", "turn", F.expr(_NEW.replace("CAST(length(before) * 2 / 3 AS INT)", "CAST(round(length(before) * 2 / 3) AS INT)")).alias("new"), F.expr(_OLD).alias("old"))
     return C.relations(t.where("old IS NOT NULL AND new IS NOT NULL"), ["conv_id", "turn"])
 
 
