@@ -34,3 +34,10 @@ def test_declared_rows_stay_apart_beyond_nine_thousand_documents(same_as_sql):
 @pytest.mark.parametrize("before", ["ab cd e", "ab cd ef", "ab cd efg", "a b c d e 7"])
 def test_guards_of_a_turn_cut_within_a_word(same_as_sql, before):
     same_as_sql("relation_guards", conversations=([(1, t, "user", before) for t in range(11)], "conv_id long, turn int, role string, text string"))
+
+
+def test_import_keeps_long_sections_whole_and_the_copy_the_sql_keeps(same_as_sql):
+    long = "\n".join(["word " * 20] * 900)
+    docs = [(94, "same text", "fr", "s", 9), (694, "same text", "fr", "s", 9), (3673, "same text", "fr", "s", 9), (1, long, "en", "s", 1), (2, long + "x", "fr", "s", 1), (3, long, "de", "s", 1)]
+    got = same_as_sql("corpus_import", documents=(docs, DOCUMENTS))
+    assert sum("copy-of:fr/3673.md" in r for r in got) == 2

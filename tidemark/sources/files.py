@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,18 +91,18 @@ def write_texts(texts: DataFrame, folder: str) -> DataFrame:
     return cut(texts.select("name", "text").mapInArrow(put, "name string, bytes long"))
 
 
-def corpus(spark: SparkSession, root: str, system: str, most: int = LONG) -> DataFrame:
+def corpus(spark: SparkSession, root: str, system: str, most: int | None = LONG, size: Callable[[Column], Column] = F.length) -> DataFrame:
     """(source_key, path, anchor, title, kind, valid_from, evidence, body, digest) of the sections of all Markdown files below ``root``, and a row with ``reason`` for each file that isn't taken.
 
     A key is the system's name and the path below the root, with the anchor behind #. Files that hold nothing but @ lines are stubs; of equal texts the one with the shortest
-    path, then the first, is taken and the others are copies of it. Sections longer than ``most`` are cut.
+    path, then the first, is taken and the others are copies of it; ``size`` of a path is what counts as its length. Sections longer than ``most`` are cut, if it is given.
     """
     d = documents(spark, root, ("md",))
     # the root as the files' paths spell it
     rel = F.regexp_extract("path", re.escape(root.removeprefix("file:").rstrip("/").lstrip("/")) + "/(.*)$", 1)
     stub = F.forall(F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+$", "")), "\n"), lambda x: F.trim(x) != ""), lambda x: x.rlike(r"^@\S+$"))
     d = d.select(rel.alias("path"), "text", F.when(F.col("reason") != "admitted", F.col("reason")).when(stub, "stub").alias("reason"))
-    first = d.where("reason IS NULL").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min(F.struct(F.length("path").alias("n"), F.col("path").alias("path"))).path.alias("keeper"))
+    first = d.where("reason IS NULL").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min(F.struct(size(F.col("path")).alias("n"), F.col("path").alias("path"))).path.alias("keeper"))
     d = d.withColumn("h", F.sha2(F.col("text").cast("binary"), 256)).join(first, "h", "left")
     d = d.withColumn("reason", F.coalesce("reason", F.when(F.col("keeper") != F.col("path"), F.concat(F.lit("copy-of:"), "keeper")))).drop("h", "keeper")
 
