@@ -41,3 +41,9 @@ def test_import_keeps_long_sections_whole_and_the_copy_the_sql_keeps(same_as_sql
     docs = [(94, "same text", "fr", "s", 9), (694, "same text", "fr", "s", 9), (3673, "same text", "fr", "s", 9), (1, long, "en", "s", 1), (2, long + "x", "fr", "s", 1), (3, long, "de", "s", 1)]
     got = same_as_sql("corpus_import", documents=(docs, DOCUMENTS))
     assert sum("copy-of:fr/3673.md" in r for r in got) == 2
+
+
+def test_runs_are_told_apart_over_all_events(same_as_sql):
+    kinds = [(1, "view", 5.0), (1, "click", 500.0), (2, "view", 1.0), (3, "click", None), (4, "view", 300.0), (4, "click", 201.0), (5, "error", 300.0)]
+    got = same_as_sql("set_diff_runs", events=(kinds, "user_id long, event_type string, value double"))
+    assert len(got) == 4
