@@ -47,3 +47,8 @@ def test_runs_are_told_apart_over_all_events(same_as_sql):
     kinds = [(1, "view", 5.0), (1, "click", 500.0), (2, "view", 1.0), (3, "click", None), (4, "view", 300.0), (4, "click", 201.0), (5, "error", 300.0)]
     got = same_as_sql("set_diff_runs", events=(kinds, "user_id long, event_type string, value double"))
     assert len(got) == 4
+
+
+def test_names_have_their_letter_test(same_as_sql):
+    got = same_as_sql("account_naming", customer=([(1, "Müşteri#1"), (2, "Customer#2"), (3, "none"), (4, None)], "c_custkey long, c_name string"))
+    assert sum("True" in r for r in got) == 1

@@ -99,11 +99,11 @@ def age_metrics(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(age.alias("oldest_age"), F.max("ts").alias("last_done"), F.count_if(F.col("value") > 50).alias("waiting"))
 
 
-@operator("SELECT c_custkey, split_part(c_name, '#', 1) AS account, split_part(c_name, '#', 2) AS member FROM customer")
+@operator("SELECT c_custkey, split_part(c_name, '#', 1) AS account, split_part(c_name, '#', 2) AS member, regexp_matches(c_name, '[ığşİĞŞ]') AS turkish FROM customer")
 def account_naming(spark, sf):
-    """H3.21: the account part of a name, and the member."""
+    """H3.21, H1.39: the account part of a name, the member, and a letter test for a language."""
     name = F.col("c_name")
-    return table(spark, sf, "customer").select("c_custkey", F.substring_index(name, "#", 1).alias("account"), F.split_part(name, F.lit("#"), F.lit(2)).alias("member"))
+    return table(spark, sf, "customer").select("c_custkey", F.substring_index(name, "#", 1).alias("account"), F.split_part(name, F.lit("#"), F.lit(2)).alias("member"), name.rlike("[ığşİĞŞ]").alias("turkish"))
 
 
 @operator("SELECT l_orderkey, l_linenumber, CAST(round_even(CAST(l_extendedprice * l_discount AS DECIMAL(14, 4)), 2) AS DOUBLE) AS bankers, CAST(round(CAST(l_extendedprice * l_discount AS DECIMAL(14, 4)), 2) AS DOUBLE) AS half_up FROM lineitem")
