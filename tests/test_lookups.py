@@ -20,3 +20,14 @@ def test_blocks_of_queries_give_the_same(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(L, "ENTRIES", 3)
     assert want and found() == want
+
+
+def test_no_pair_of_word_and_term_is_shuffled(spark, monkeypatch):
+    words = spark.createDataFrame([(w, [w[i : i + 2] for i in range(len(w) - 1)]) for w in ("abcd", "abce", "xyz", "bcda")], "word string, t array<string>")
+    terms = words.where("word <> 'abce'").withColumnRenamed("word", "term")
+    for block, step in ((2000, 512), (1, 2)):
+        monkeypatch.setattr(L, "TERMS", block)
+        monkeypatch.setattr(L, "STEP", step)
+        d = L.sharing(words, terms, 0.6)
+        assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, d.collect())) == [("abcd", "abcd", 3, 3), ("abcd", "abce", 2, 3), ("abcd", "bcda", 2, 3), ("bcda", "abcd", 2, 3), ("bcda", "bcda", 3, 3), ("xyz", "xyz", 2, 2)]
