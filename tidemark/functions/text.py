@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,10 +21,25 @@ def fold(text: str | None) -> str | None:
     return "".join(c for c in t if not unicodedata.category(c).startswith("M")).replace("ı", "i")
 
 
-@F.pandas_udf(StringType())
-def normalise(texts: pd.Series) -> pd.Series:
-    """``fold`` in Arrow batches; Spark has no function for normal forms."""
-    return texts.map(fold)
+#: Texts of an Arrow batch that are Python strings at one time.
+AT_ONCE = 64
+
+
+def over(f: Callable[[str], str | None]):
+    """A function of Arrow batches that makes ``f`` of each text (null: null), few at a time, so that a task holds a batch as Arrow has it and never as strings."""
+
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        if not len(texts):
+            return pa.array([], pa.string())
+        parts = ([None if t is None else f(t) for t in texts[i : i + AT_ONCE].to_pylist()] for i in range(0, len(texts), AT_ONCE))
+        return pa.concat_arrays([pa.array(x, pa.string()) for x in parts])
+
+    return run
+
+
+#: ``fold`` in Arrow batches; Spark has no function for normal forms.
+normalise = over(fold)
 
 
 def terms(text: Column, most: int = 24) -> Column:
