@@ -30,3 +30,10 @@ def check(udf, f):
 
 def test_folding_holds_few_texts():
     check(X.normalise, X.fold)
+
+
+def test_redaction_holds_few_texts():
+    from tidemark.functions import redact as R
+
+    check(R.redacted, R.redact)
+    check(R.masked_json, lambda t: R.each_string(t, R.mask))
