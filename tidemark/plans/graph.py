@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import graph as G
+from tidemark.operators.sizes import parts
 from tidemark.plans.registry import operator
 from tidemark.sources.model import EDGES, VERSIONS, edges, versions
 from tidemark.sources.tables import table
@@ -30,9 +31,11 @@ def ancestor_chain(spark, sf):
 @operator(f"WITH {EDGES} SELECT DISTINCT e.dst, e.src, f.dst AS next FROM edges e LEFT JOIN edges f ON f.src = e.dst")
 def one_hop(spark, sf):
     """Links and where they go on."""
-    e = edges(spark, sf)
+    n = parts(table(spark, sf, "lineitem").count(), spark)
+    e = edges(spark, sf, n)
     f = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-    return e.join(f, "dst", "left").select("dst", "src", "next").distinct()
+    # links are distinct, so no row comes twice
+    return e.repartition(n, "dst").join(f.repartition(n, "dst"), "dst", "left").select("dst", "src", "next")
 
 
 @operator(f"WITH RECURSIVE {EDGES}, r AS (SELECT CAST(399 AS BIGINT) AS node UNION SELECT 398 UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r")
