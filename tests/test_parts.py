@@ -12,7 +12,7 @@ def test_parts(spark, monkeypatch):
     assert [sizes.parts(n, spark) for n in (0, 4000, 4001, 9999)] == [4, 4, 5, 10]
 
 
-@pytest.mark.parametrize("name", ["one_hop"])
+@pytest.mark.parametrize("name", ["one_hop", "call_the_day"])
 def test_partitions_follow_the_table(spark, sf, monkeypatch, name):
     monkeypatch.setattr(sizes, "ROWS", 500)
     n = -(-table(spark, sf, "lineitem").count() // 500)

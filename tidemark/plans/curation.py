@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import predicates as P
 from tidemark.operators import curation as C
+from tidemark.operators.sizes import parts
 from tidemark.plans.registry import operator
 from tidemark.session import stored
 from tidemark.sources.model import VERSIONS, versions
@@ -66,7 +67,10 @@ def write_batch(spark, sf):
 @operator(f"WITH {_WRITES} SELECT l_orderkey, CAST(count(*) AS BIGINT) AS items, CAST(count(*) FILTER (action = 'insert') AS BIGINT) AS inserted, CAST(count(*) FILTER (action = 'update') AS BIGINT) AS updated, CASE WHEN count(*) > 5 THEN 'too-many' WHEN count(*) = count(*) FILTER (action = 'noop') THEN 'replayed' ELSE 'closed' END AS state FROM a GROUP BY l_orderkey")
 def call_the_day(spark, sf):
     """L4: a session's batch as a whole: its size held to a limit, what it changed, and whether it only repeats what was there."""
-    a = C.actions(table(spark, sf, "lineitem"), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"], F.col("l_returnflag"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    p = parts(li.count(), spark)
+    a = C.actions(li.repartition(p, "l_partkey", "l_suppkey"), ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"], F.col("l_returnflag"))
+    a = a.select("l_orderkey", "action").repartition(p, "l_orderkey")
     n = lambda x: F.count_if(F.col("action") == x)
     g = a.groupBy("l_orderkey").agg(F.count("*").alias("items"), n("insert").alias("inserted"), n("update").alias("updated"), n("noop").alias("same"))
     return g.select("l_orderkey", "items", "inserted", "updated", F.when(F.col("items") > 5, "too-many").when(F.col("items") == F.col("same"), "replayed").otherwise("closed").alias("state"))
