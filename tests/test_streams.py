@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 
@@ -177,3 +178,72 @@ def test_leases_as_a_plain_state_machine(spark, tmp_path, restart):
     have = sorted((r.job, r.seq, micros(r.at.replace(tzinfo=datetime.timezone.utc)), r.outcome, r.worker, r.token, r.attempts) for r in got.collect())
     assert {x[3] for x in want} == {"queued", "granted", "wait", "renewed", "done", "retry", "expired", "dead", "refused"}
     assert have == want
+
+
+class Handle:
+    """A state handle that keeps states as values, and counts what is written and read."""
+
+    def __init__(self):
+        self.timers, self.elements, self.value, self.reads, self.writes = set(), [], None, 0, 0
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.remove
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getListState = getValueState  # noqa: N815
+
+    def exists(self):
+        return self.value is not None
+
+    def update(self, value):
+        self.value = value
+
+    def get(self):
+        raise NotImplementedError
+
+
+class Elements(Handle):
+    def get(self):
+        self.reads += len(self.elements)
+        return iter(self.elements)
+
+    def appendValue(self, x):  # noqa: N802
+        self.appendList([x])
+
+    def appendList(self, x):  # noqa: N802
+        self.writes += len(x)
+        self.elements = [*self.elements, *x]
+
+    def put(self, x):
+        self.clear()
+        self.appendList(x)
+
+    def clear(self):
+        self.elements = []
+
+
+class Value(Handle):
+    def get(self):
+        return self.value
+
+
+def test_requests_of_a_frame_are_one_element_of_state_that_is_read_once():
+    """Elements of state and frames without rows cost seconds for each job, so they may not follow the requests."""
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10_000_000
+
+    handle, waiting, job = Handle(), Elements(), Value()
+    handle.getValueState, handle.getListState = lambda *a: job, lambda *a: waiting
+    p = leases.Leases()
+    p.init(handle)
+    frame = lambda seqs: pd.DataFrame({"job": 1, "seq": seqs, "at": pd.to_datetime([s * 1_000_000 for s in seqs], unit="us"), "kind": ["enqueue" if s == 1 else "claim" for s in seqs], "worker": [None if s == 5 else 2 for s in seqs], "token": [None] * len(seqs)})
+    assert not list(p.handleInputRows((1,), iter([frame(range(3, 500)), frame([20_000])]), Now()))
+    assert not list(p.handleInputRows((1,), iter([frame([1, 2])]), Now()))
+    assert waiting.writes == 3 and waiting.reads == 0 and handle.timers == {1000}
+    handle.timers.clear()
+    (out,) = p.handleExpiredTimer((1,), Now(), None)
+    assert waiting.reads == 3 and handle.timers == {20_000_000} and len(waiting.elements) == 1
+    assert out["seq"].tolist() == [*range(1, 302), -1, *range(302, 500), -1] and set(out["outcome"]) == {"queued", "granted", "wait", "expired"}
+    assert pd.isna(out["worker"][4]) and out["worker"].drop(4).eq(2).all()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +17,16 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 LEASE, BACKOFF, ATTEMPTS = 300, (60, 120, 240, 480, 960), 5
 REQUEST = "job long, seq long, at timestamp, kind string, worker long, token long"
 OUTCOME = "job long, seq long, at timestamp, outcome string, worker long, token long, attempts int"
-_STATE = "status string, token long, worker long, lease_until long, due long, attempts int, timer long"
-_WAITING = "seq long, at long, kind string, worker long, token long"
+_STATE = "status string, token long, worker long, lease_until long, due long, attempts int, timer long, first long"
+#: Requests that came together are one element, as reading and writing state costs by its elements; of this many at most.
+_WAITING = "seq array<long>, at array<long>, kind array<string>, worker array<long>, token array<long>"
+_TOGETHER = 10_000
 _MICRO = 1_000_000
 
 
 @dataclass
 class Job:
-    """A job between requests; instants are microseconds, and a timer is set for ``timer`` milliseconds (0: none)."""
+    """A job between requests; instants are microseconds, a timer is set for ``timer`` milliseconds (0: none), and ``first`` is the instant of its first waiting request."""
 
     status: str = "none"
     token: int = 0
@@ -31,6 +35,7 @@ class Job:
     due: int = 0
     attempts: int = 0
     timer: int = 0
+    first: int | None = None
 
     def _lost(self, at: int, wait: int) -> str:
         self.attempts += 1
@@ -74,11 +79,12 @@ class Leases(StatefulProcessor):
         self.waiting = handle.getListState("waiting", _WAITING)
 
     def _state(self) -> Job:
-        return Job(*self.job.get()) if self.job.exists() else Job()
+        row = self.job.get()
+        return Job(*row) if row else Job()
 
-    def _timer(self, job: Job, rows: list[tuple]) -> None:
-        """One timer, for the next request or the end of the lease; of a millisecond that is not over before them."""
-        nxt = min([r[1] for r in rows] + ([job.lease_until] if job.status == "running" else []), default=None)
+    def _put(self, job: Job) -> None:
+        """The state, with one timer, for the next request or the end of the lease; of a millisecond that is not over before them."""
+        nxt = min([x for x in (job.first, job.lease_until if job.status == "running" else None) if x is not None], default=None)
         at = 0 if nxt is None else -(-nxt // 1000)
         if at != job.timer:
             if job.timer:
@@ -86,34 +92,42 @@ class Leases(StatefulProcessor):
             if at:
                 self.handle.registerTimer(at)
             job.timer = at
+        self.job.update(tuple(vars(job).values()))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [r for f in rows for r in zip(f["seq"].tolist(), [int(x.value) // 1000 for x in f["at"]], f["kind"], f["worker"].tolist(), [None if pd.isna(x) else int(x) for x in f["token"]], strict=True)]
-        self.waiting.appendList(new)
         job = self._state()
-        self._timer(job, [tuple(r) for r in self.waiting.get()])
-        self.job.update(tuple(asdict(job).values()))
-        yield pd.DataFrame([], columns=["job", "seq", "at", "outcome", "worker", "token", "attempts"])
+        for f in rows:
+            at = (f["at"].to_numpy("datetime64[ns]").astype("int64") // 1000).tolist()
+            worker, token = ([None if x is None or x != x else int(x) for x in f[c].tolist()] for c in ("worker", "token"))
+            self.waiting.appendValue((f["seq"].tolist(), at, f["kind"].tolist(), worker, token))
+            job.first = min(at if job.first is None else [job.first, *at])
+        self._put(job)
+        return iter(())  # outcomes come by timer; a frame without rows would be paid for as one with rows
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        job, rows = self._state(), sorted(tuple(r) for r in self.waiting.get())
+        job = self._state()
         job.timer = 0  # it has just gone off
-        rows.sort(key=lambda r: (r[1], r[0]))
         out: list[tuple] = []
-        for r in rows:
-            if r[1] <= upto:
+        if job.first is not None and job.first <= upto:
+            rows = [r for x in self.waiting.get() for r in zip(*x, strict=True)]
+            rows.sort(key=lambda r: (r[1], r[0], *((x is not None, x) for x in r[2:])))
+            due = bisect_right(rows, upto, key=lambda r: r[1])
+            for r in rows[:due]:
                 out += job.step(*r)
+            rest = rows[due:]
+            if rest:
+                self.waiting.put([tuple(map(list, zip(*rest[i : i + _TOGETHER], strict=True))) for i in range(0, len(rest), _TOGETHER)])
+            else:
+                self.waiting.clear()
+            job.first = rest[0][1] if rest else None
         out += job.expire(upto)
-        rest = [r for r in rows if r[1] > upto]
-        self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-        self._timer(job, rest)
-        self.job.update(tuple(asdict(job).values()))
+        self._put(job)
         if out:
             seq, at, outcome, worker, token, attempts = zip(*out, strict=True)
-            yield pd.DataFrame({"job": key[0], "seq": seq, "at": pd.to_datetime(pd.Series(at), unit="us"), "outcome": outcome, "worker": worker, "token": token, "attempts": pd.Series(attempts, dtype="int32")})
+            long = lambda x: np.array(x, "int64")
+            workers = worker if None in worker else long(worker)
+            yield pd.DataFrame({"job": key[0], "seq": long(seq), "at": pd.to_datetime(long(at), unit="us"), "outcome": np.array(outcome, "object"), "worker": workers, "token": long(token), "attempts": np.array(attempts, "int32")})
 
     def close(self) -> None:
         pass
