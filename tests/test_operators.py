@@ -108,3 +108,17 @@ def test_running_over_many_ranges_and_one_hot_group(spark, monkeypatch):
         got = [(x.g, x.i, x.row_no, x.total, x.used) for x in ranks.running(d, ["g"], [F.col("i").desc()], F.col("n"), most).collect()]
         assert len(got) == len(want) and set(got) == want
     assert ranks.running(d.limit(0), ["g"], [F.col("i")]).count() == 0
+
+
+def test_cycle_edges_jobs_follow_the_rounds_and_not_both_ways(spark):
+    """A round is one write; what it came to is seen meanwhile. A ring and its chord of n nodes take n rounds one way, and the other way goes along."""
+    n = 8
+    rows = [(i, (i + 1) % n) for i in range(n)] + [(3, 1), (20, 21), (21, 22), (5, 20), (30, 31), (31, 30), (2, 30)]
+    e = spark.createDataFrame(rows, "src long, dst long")
+    sc = spark.sparkContext
+    sc.setJobGroup("cycles", "cycles")
+    got = {tuple(x) for x in G.cycle_edges(e).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("cycles"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == set(rows) - {(20, 21), (21, 22), (5, 20), (2, 30)}
+    assert jobs < 128  # 145 where the ways were gone one after the other, and counted by jobs of their own

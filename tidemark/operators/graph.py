@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, stored
+from tidemark.session import counted, cut, stored
 
 
 def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
@@ -23,50 +23,53 @@ def reach(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFr
     raise RuntimeError(f"not ended after {most} steps")
 
 
-def trim(edges: DataFrame) -> DataFrame:
-    """The edges left when nodes without an edge in or without one out are taken away until there are none: no edge on a cycle is lost."""
-    live = stored(edges)
-    n = live.count()
-    while n:
-        starts, ends = live.select(F.col("src").alias("dst")).distinct(), live.select(F.col("dst").alias("src")).distinct()
-        live = stored(live.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"))
-        m = live.count()
-        if m == n:
-            break
+def trim(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges left when nodes without an edge in or without one out are taken away until there are none, and their number: no edge on a cycle is lost. ``edges`` are stored."""
+    live, n, m = edges, None, None
+    while m != 0 and (n is None or m != n):
         n = m
-    return live
+        starts, ends = live.select(F.col("src").alias("dst")).distinct(), live.select(F.col("dst").alias("src")).distinct()
+        live, seen = counted(live.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"), n=F.count("*"))
+        m = seen["n"]
+    return live, m
 
 
-def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): the largest label that reaches each node; only nodes whose label has just grown send it on."""
+def _classes(edges: DataFrame) -> DataFrame:
+    """(node, up, down): the largest node that reaches each node and the largest that it reaches, itself included; only nodes with a label that has just grown send it on."""
+    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(True).alias("fwd")).unionAll(edges.select("dst", "src", F.lit(False)))
+    labels = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().select("node", F.col("node").alias("up"), F.col("node").alias("down"))
     grown = labels
-    while not grown.isEmpty():
-        sent = grown.join(edges, grown.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("sent"))
-        labels = cut(labels.select("node", "label").join(sent, "node", "left").select("node", F.greatest("label", "sent").alias("label"), (F.col("sent") > F.col("label")).alias("grew")))
-        grown = labels.where("grew").select("node", "label")
-    return labels.select("node", "label")
+    while True:
+        sent = grown.join(both, grown.node == both.a).groupBy(F.col("b").alias("node")).agg(F.max(F.when(F.col("fwd"), F.col("up"))).alias("u"), F.max(F.when(~F.col("fwd"), F.col("down"))).alias("d"))
+        grew = F.coalesce(F.col("u") > F.col("up"), F.lit(False)) | F.coalesce(F.col("d") > F.col("down"), F.lit(False))
+        nxt = labels.select("node", "up", "down").join(sent, "node", "left").select("node", F.greatest("up", "u").alias("up"), F.greatest("down", "d").alias("down"), grew.alias("grew"))
+        labels, seen = counted(nxt, n=F.count_if("grew"))
+        if not seen["n"]:
+            return labels.select("node", "up", "down")
+        grown = labels.where("grew").select("node", "up", "down")
 
 
-def cycle_edges(edges: DataFrame) -> DataFrame:
+def cycle_edges(edges: DataFrame, apart: bool = False) -> DataFrame:
     """Edges (src, dst) that lie on a cycle, by colouring in rounds of joins: memory follows the edges, never the pairs with a path.
 
-    Each node takes the largest node that reaches it for its colour. Within a colour, what reaches the node of that name is its component; the edges of
-    components are given back, and the rest goes on without them and without edges between colours. A null end lies on no cycle; repeated edges come back once.
+    Each node takes the largest node that reaches it and the largest that it reaches. Where both are one, the node is on that one's component, whose edges are given
+    back; the rest goes on without them and without edges between nodes with other labels. The largest node's component is found each time. A null end lies on no
+    cycle; repeated edges come back once. ``apart``: the edges are stored, distinct and without nulls, and are not told apart again.
     """
-    edges = stored(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    found, live = edges.where("src = dst"), trim(edges.where("src <> dst"))
-    while not live.isEmpty():
-        nodes = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
-        colour = _spread(nodes.withColumn("label", F.col("node")), live)
-        ends = live.join(colour.select(F.col("node").alias("src"), F.col("label").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("d")), "dst")
-        inner = stored(ends.where("c = d").select("src", "dst"))
-        own = colour.where("node = label").select("node")
-        back = inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        member = reach(back, own, None).select("node")
-        is_src, is_dst = member.withColumnRenamed("node", "src"), member.withColumnRenamed("node", "dst")
-        found = stored(found.unionAll(inner.join(is_src, "src", "left_semi").join(is_dst, "dst", "left_semi").select("src", "dst")))
-        live = trim(inner.join(is_src, "src", "left_anti").join(is_dst, "dst", "left_anti").select("src", "dst"))
-    return found
+    if not apart:
+        edges = stored(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    found, (live, n) = edges.where("src = dst"), trim(edges.where("src <> dst"))
+    for k in count(1):
+        if not n:
+            return found
+        labels = _classes(live)
+        of = lambda end: labels.select(F.col("node").alias(end), F.struct("up", "down").alias(f"{end}_class"))  # noqa: B023, E731
+        met = live.join(of("src"), "src").join(of("dst"), "dst").where("src_class = dst_class")
+        met, seen = counted(met.select("src", "dst", (F.col("src_class.up") == F.col("src_class.down")).alias("cyclic")), n=F.count_if(F.expr("NOT cyclic")))
+        found = found.unionAll(met.where("cyclic").select("src", "dst"))
+        if k % 16 == 0:
+            found = stored(found)  # else the plan would grow with each component
+        live, n = trim(met.where("NOT cyclic").select("src", "dst")) if seen["n"] else (met, 0)
 
 
 def levels(edges: DataFrame) -> DataFrame:

@@ -26,14 +26,13 @@ def judge(proposals: DataFrame, live: DataFrame, heads: DataFrame, least: float
     p = proposals.select("id", "src", "dst", "src_version", "dst_version", F.coalesce(F.col("confidence"), F.lit(0.0)).alias("confidence"), why.alias("why"))
     best = stored(p.where("why IS NULL").groupBy("src", "dst").agg(F.max_by(F.struct("id", "src_version", "dst_version"), F.struct(F.col("confidence"), -F.col("id"))).alias("b")))
     back = best.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    one_way = best.join(back, ["src", "dst"], "left_anti").select("src", "dst")
+    one_way = stored(best.join(back, ["src", "dst"], "left_anti").select("src", "dst"))
     flag = lambda rows, name: rows.select("src", "dst").distinct().withColumn(name, F.lit(True))
-    cyclic = flag(cycle_edges(one_way), "cyclic")
-    pairs = live.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    cyclic = flag(cycle_edges(one_way, apart=True), "cyclic")
+    pairs = stored(live.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     either = flag(pairs.unionAll(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "linked")
-    kept = stored(one_way.join(cyclic, ["src", "dst"], "left_anti"))
-    fresh = stored(kept.join(either, ["src", "dst"], "left_anti"))
-    with_live = flag(cycle_edges(fresh.unionAll(pairs)).join(fresh, ["src", "dst"], "left_semi"), "live_cycle")
+    fresh = stored(one_way.join(cyclic, ["src", "dst"], "left_anti").join(either, ["src", "dst"], "left_anti"))
+    with_live = flag(cycle_edges(fresh.unionAll(pairs), apart=True).join(fresh, ["src", "dst"], "left_semi"), "live_cycle")
     h = heads.select(F.col("item"), F.col("version"), "valid_from")
     of = lambda end: h.select(F.col("item").alias(end), F.col("version").alias(f"{end}_head"), F.col("valid_from").alias(f"{end}_from"))
     d = best.join(flag(back, "both"), ["src", "dst"], "left").join(cyclic, ["src", "dst"], "left").join(either, ["src", "dst"], "left").join(with_live, ["src", "dst"], "left")
