@@ -52,3 +52,11 @@ def test_runs_are_told_apart_over_all_events(same_as_sql):
 def test_names_have_their_letter_test(same_as_sql):
     got = same_as_sql("account_naming", customer=([(1, "Müşteri#1"), (2, "Customer#2"), (3, "none"), (4, None)], "c_custkey long, c_name string"))
     assert sum("True" in r for r in got) == 1
+
+
+def test_exported_files_are_many_to_a_task_and_to_no_single_folder(spark, same_as_sql, tmp_path):
+    docs = [(i, None if i == 7 else f"text {i}", "en", "A Source", 9) for i in range(1500)]
+    assert len(same_as_sql("export_tree", documents=(docs, DOCUMENTS))) == 1500
+    read = registry.queries()["export_tree"](spark, str(tmp_path))
+    assert read.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert len({f.rpartition("/")[0] for f in read.inputFiles()}) > 100

@@ -16,6 +16,8 @@ from tidemark.session import cut
 
 #: Larger files are not read.
 MOST_BYTES = 2 << 20
+#: Files and bytes that one task reads; Spark by itself gives 32 small files to a task, as it counts 4 MB for opening one.
+TASK_FILES, TASK_BYTES = 1000, 64 << 20
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
@@ -91,6 +93,12 @@ def write_texts(texts: DataFrame, folder: str) -> DataFrame:
     return cut(texts.select("name", "text").mapInArrow(put, "name string, bytes long"))
 
 
+def tasks(wrote: DataFrame) -> int:
+    """Tasks in which the files of ``wrote`` (name, bytes) are read well: as many as their number and bytes ask for, and no fewer than twice the session's cores."""
+    n, size = wrote.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return max(2 * wrote.sparkSession.sparkContext.defaultParallelism, n // TASK_FILES, size // TASK_BYTES)
+
+
 def corpus(spark: SparkSession, root: str, system: str, most: int | None = LONG, size: Callable[[Column], Column] = F.length) -> DataFrame:
     """(source_key, path, anchor, title, kind, valid_from, evidence, body, digest) of the sections of all Markdown files below ``root``, and a row with ``reason`` for each file that isn't taken.
 
