@@ -23,3 +23,9 @@ def test_short_words_are_matched_too(spark, sf, tmp_path):
     d = small(spark, sf, tmp_path, [(1, "cat"), (2, "a notebook")], [(1, "Cats and notebooks"), (2, "a cat"), (3, None)])
     got = same_as_sql(spark, d, "word_similarity_match")
     assert {("cat", "cats"), ("cat", "cat"), ("a", "a"), ("notebook", "notebooks")} <= set(zip(got["term"], got["word"], strict=True))
+
+
+def test_all_items_are_queries(spark, sf, tmp_path):
+    d = small(spark, sf, tmp_path, [(1, "notebooks of apple_pie"), (20, "lighthouse")], [(1, "old notebooks and apple_pie"), (2, "the lighthouse")])
+    for name in ("trigram_top",):
+        assert set(same_as_sql(spark, d, name)["qid"]) == {1, 20}
