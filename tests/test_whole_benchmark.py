@@ -27,5 +27,5 @@ def test_short_words_are_matched_too(spark, sf, tmp_path):
 
 def test_all_items_are_queries(spark, sf, tmp_path):
     d = small(spark, sf, tmp_path, [(1, "notebooks of apple_pie"), (20, "lighthouse")], [(1, "old notebooks and apple_pie"), (2, "the lighthouse")])
-    for name in ("trigram_top",):
+    for name in ("trigram_top", "rrf_fusion"):
         assert set(same_as_sql(spark, d, name)["qid"]) == {1, 20}
