@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.sections import LONG, front_matter, sections
-from tidemark.session import cut
+from tidemark.session import cut, stored
 
 #: Larger files are not read.
 MOST_BYTES = 2 << 20
 #: Files and bytes that one task reads; Spark by itself gives 32 small files to a task, as it counts 4 MB for opening one.
 TASK_FILES, TASK_BYTES = 1000, 64 << 20
+#: Most tasks that list folders.
+LISTS = 256
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
@@ -26,12 +28,80 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame
     return f.where(~F.col("path").rlike(r"/\.[^/]+/|/(node_modules|__pycache__)/"))
 
 
+def _at(uri: str) -> tuple:
+    """The file system of a path, and the path in it."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith("file:") or "://" not in uri else fs.FileSystem.from_uri(uri)
+
+
+def listed(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(path, length) of the files that ``scan`` gives, listed in tasks, a folder in each, level by level: no list of files comes to the driver."""
+    ends = tuple(f".{x}" for x in suffixes)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                store, path = _at(folder)
+                rows = []
+                for x in store.get_file_info(fs.FileSelector(path)):
+                    name, inner = x.base_name, x.type == fs.FileType.Directory
+                    if name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_"):
+                        continue  # Spark's file sources leave these out
+                    if name != "node_modules" if inner else name.endswith(ends):
+                        rows.append((f"{folder.rstrip('/')}/{name}", inner, 0 if inner else x.size))
+                for at in range(0, len(rows), 10_000):
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 10_000], strict=True), (pa.string(), pa.bool_(), pa.int64()), strict=True)], names=["path", "inner", "length"])
+
+    level, out = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        found = stored(level.mapInArrow(entries, "path string, inner boolean, length long"))
+        own = found.where("NOT inner").select("path", "length")
+        out = own if out is None else out.unionAll(own)
+        level = found.where("inner").select("path")
+        n = level.count()
+        if not n:
+            return out
+        level = level.repartition(min(n, LISTS))
+
+
+def contents(spark: SparkSession, root: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(path, length, content) of the files that ``scan`` gives, content null where it is over MOST_BYTES; listed and read in tasks."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, size = [], 0
+            for path, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                raw = None
+                if length <= MOST_BYTES:
+                    store, name = _at(path)
+                    with store.open_input_stream(name) as f:
+                        raw = f.read()
+                rows.append((path, length, raw))
+                size += len(raw or b"")
+                if size > 4 * MOST_BYTES:
+                    yield _contents(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _contents(rows)
+
+    files = listed(spark, root, suffixes)
+    n = tasks(files.select("path", F.least("length", F.lit(MOST_BYTES)).alias("bytes")))
+    return files.repartition(n, "path").mapInArrow(read, "path string, length long, content binary")
+
+
+def _contents(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.binary()), strict=True)], names=["path", "length", "content"])
+
+
 def documents(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("md", "txt")) -> DataFrame:
     """(path, text, reason): texts of files with a reason why one isn't taken (text null), with line ends as \\n and no byte order mark."""
     small = F.when(F.col("length") <= MOST_BYTES, F.col("content"))
     text = F.when(F.is_valid_utf8(small.cast("string")), small.cast("string"))
     text = F.regexp_replace(F.regexp_replace(text, "^\\uFEFF", ""), "\r\n?", "\n")
-    d = scan(spark, root, suffixes).select("path", "length", text.alias("text"))
+    d = contents(spark, root, suffixes).select("path", "length", text.alias("text"))
     reason = F.when(F.col("length") > MOST_BYTES, "too-large").when(F.col("text").isNull(), "not-utf8").when(F.contains("text", F.lit("\0")), "binary").otherwise(admission(F.col("text")))
     return d.select("path", reason.alias("reason"), F.when(reason == "admitted", F.col("text")).alias("text"))
 
@@ -75,13 +145,11 @@ def write_texts(texts: DataFrame, folder: str) -> DataFrame:
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for b in batches:
             sizes = []
             for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 uri, raw = f"{folder.rstrip('/')}/{name}", (text or "").encode()
-                store, path = (fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith("file:") or "://" not in uri else fs.FileSystem.from_uri(uri)
+                store, path = _at(uri)
                 store.create_dir(path.rpartition("/")[0], recursive=True)
                 part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
                 with store.open_output_stream(part) as out:
