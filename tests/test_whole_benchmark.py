@@ -1,5 +1,7 @@
 """Queries that are asked all items of the benchmark, with all their words."""
 
+import pyarrow.parquet as pq
+
 from tests.oracle import connection, rows
 from tidemark.plans import registry
 from tidemark.sources.tables import TABLES, table
@@ -9,7 +11,7 @@ def small(spark, sf, folder, items, docs):
     """A folder with these items and documents; the other tables are those of ``sf`` without rows."""
     own = {"benchmark": spark.createDataFrame(items, "item_id long, text string"), "documents": spark.createDataFrame(docs, "doc_id long, text string")}
     for name in TABLES:
-        own.get(name, table(spark, sf, name).limit(0)).coalesce(1).toPandas().to_parquet(f"{folder}/{name}.parquet")
+        pq.write_table(own.get(name, table(spark, sf, name).limit(0)).toArrow(), f"{folder}/{name}.parquet")
     return str(folder)
 
 
